@@ -94,29 +94,26 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def exact_rank(df: DataFrame, group: list[str], key: Column, out: str, rows: int, ties: list[Column] | None = None) -> DataFrame:
+def exact_rank(df: DataFrame, group: list[str], key: Column, out: str, rows: int, ties: list[Column] | None = None, extra: DataFrame | None = None) -> DataFrame:
     """Adds ``out``: the 0-based rank of each row in its ``group``, ordered by a hash bucket, ``key`` and ``ties``.
 
     A plain window would put a whole group into one task. Here ``key`` (a long that is spread
     evenly, such as a hash) is cut into buckets sized by ``rows``; each bucket is ranked alone and
     shifted by the sizes of the buckets before it. The order is total as far as ``key`` and
-    ``ties`` are.
+    ``ties`` are. ``extra`` (the group columns and more) adds its other columns to each row by way
+    of the small table of buckets, so a hot group isn't joined as one key. Null groups count as equal.
     """
     buckets = max(1, -(-rows // RANK_ROWS)) * 16
-    b, n, base, local = (free_name(df, x) for x in ("rank_bucket", "rank_n", "rank_base", "rank_local"))
-    cut = df.withColumn(b, F.shiftrightunsigned(key, 40) % F.lit(buckets))
-    # compare on the bucket first so that order across buckets and inside them agree
-    within = Window.partitionBy(*group, b).orderBy(key, *(ties or []))
-    sizes = cut.groupBy(*group, b).agg(F.count(F.lit(1)).alias(n))
-    before = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select(*group, b, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base))
-    same = [cut[g].eqNullSafe(bases[g]) for g in group] + [cut[b] == bases[b]]
-    cond = same[0]
-    for s in same[1:]:
-        cond = cond & s
-    ranked = cut.withColumn(local, F.row_number().over(within))
-    cond = ranked[b] == bases[b]
-    for g in group:
-        cond = cond & ranked[g].eqNullSafe(bases[g])
-    joined = ranked.join(bases, cond)
-    return joined.select(*(ranked[c] for c in df.columns), (bases[base] + ranked[local] - 1).cast("long").alias(out))
+    g, b, n, base, local = (free_name(df, x) for x in ("rank_group", "rank_bucket", "rank_n", "rank_base", "rank_local"))
+    whole = F.struct(*(F.col(f"`{c}`").alias(f"g{i}") for i, c in enumerate(group))) if group else F.struct(F.lit(0).alias("g0"))
+    cut = df.withColumn(g, whole).withColumn(b, (F.shiftrightunsigned(key, 40) % F.lit(buckets)).cast("int"))
+    sizes = cut.groupBy(g, b).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(g).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(g, b, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base))
+    more = []
+    if extra is not None:
+        more = [c for c in extra.columns if c not in group]
+        bases = bases.join(extra.select(whole.alias(g), *more), g, "left")
+    within = Window.partitionBy(g, b).orderBy(key, *(ties or []))
+    joined = cut.withColumn(local, F.row_number().over(within)).join(bases, [g, b])
+    return joined.select(*(F.col(f"`{c}`") for c in df.columns), *more, (F.col(base) + F.col(local) - 1).cast("long").alias(out))

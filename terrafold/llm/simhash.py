@@ -18,10 +18,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import delete, drop_stored, free_name, stored  # noqa: F401
+from terrafold.llm.common import free_name, stored
 from terrafold.llm.components import connected
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -92,6 +92,12 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
 
 
+def _grouped(fps: DataFrame) -> DataFrame:
+    """fp, component (a fingerprint) for every distinct fingerprint of a stored table."""
+    comp = connected(stored(links(fps), "links"))
+    return fps.select("fp").distinct().join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, one row for each row of ``docs``.
 
@@ -102,10 +108,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     fps = stored(fingerprints(docs, text, (doc_id,), shingle).toDF("doc_id", "fp"), "simhash")
     own = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    comp = connected(stored(links(fps), "links"))
-    named = own.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    named = stored(named, "named")
-    firsts = named.groupBy("component").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    changed = named.join(firsts.filter("members > 1"), "component").select("fp", "component_id")
-    full = named.select("fp", "first").join(changed, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    named = stored(own.join(_grouped(fps), "fp"), "named")
+    # most components are one fingerprint; only the others need a second aggregate
+    firsts = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    full = named.join(firsts, "component").select("fp", "component_id")
     return fps.join(full, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest doc_id (null ids last; ties by a hash of the row)."""
+    key = free_name(docs, "row_key")
+    src = docs.withColumn(key, F.struct(F.col(f"`{doc_id}`").isNull().alias("none"), F.col(f"`{doc_id}`").alias("id"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("h")))
+    fps = stored(fingerprints(src, text, (key,), shingle).toDF("row_key", "fp"), "simhash")
+    best = fps.groupBy("fp").agg(F.min("row_key").alias("row_key")).join(_grouped(fps), "fp").groupBy("component").agg(F.min("row_key").alias(key)).select(key)
+    one = Window.partitionBy(key).orderBy(F.lit(0))
+    nth = free_name(docs, "row_nth")
+    kept = src.join(best, key, "left_semi").withColumn(nth, F.row_number().over(one)).filter(F.col(nth) == 1)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

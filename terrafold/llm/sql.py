@@ -45,3 +45,34 @@ verdict AS (SELECT *, (NOT base_failed AND {ok}) AS kept FROM r)"""
 def quality() -> str:
     return f"""WITH {quality_with().strip()}
 SELECT d.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM verdict JOIN d USING (uid)"""
+
+
+def licenses() -> str:
+    from terrafold.llm.licenses import LEAST, TEMPLATES
+
+    def words(x: str) -> str:
+        return f"regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+')"
+
+    def grams(w: str) -> str:
+        return f"list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
+
+    values = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(TEMPLATES))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS t FROM documents),
+tw AS (SELECT i, name, {words("text")} AS w FROM (VALUES {values}) AS v(i, name, text)),
+tpl AS (SELECT i, name, {grams("w")} AS g FROM tw),
+units AS (
+  SELECT uid, 'line' AS unit, unnest(string_split(t, chr(10))) AS x FROM d
+  UNION ALL SELECT uid, 'block', unnest(string_split_regex(t, '\\n[ \\t]*\\n')) FROM d WHERE regexp_matches(t, '\\n[ \\t]*\\n')
+  UNION ALL SELECT uid, 'whole', t FROM d),
+w AS (SELECT uid, unit, {words("x")} AS w FROM units),
+g AS (SELECT uid, unit, {grams("w")} AS g FROM w WHERE len(w) <= 1000),
+m AS (SELECT uid, unit, name, i, 2 * len(list_intersect(g.g, tpl.g)) / (len(g.g) + len(tpl.g)) AS dice
+      FROM g JOIN tpl ON len(g.g) BETWEEN len(tpl.g) * {LEAST} / (2 - {LEAST}) AND len(tpl.g) * (2 - {LEAST}) / {LEAST}
+      WHERE len(g.g) > 0 AND list_has_any(g.g, tpl.g)),
+hit AS (SELECT uid, unit, name, dice, row_number() OVER () AS u FROM m WHERE dice >= {LEAST}),
+best AS (SELECT uid, arg_min(name, (-dice, name)) AS license, max(dice) AS dice FROM hit GROUP BY uid),
+lines AS (SELECT uid, count(*) AS n FROM hit WHERE unit = 'line' GROUP BY uid),
+names AS (SELECT uid, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM hit GROUP BY uid)
+SELECT d.doc_id, best.license, round(best.dice, 9) AS dice, coalesce(lines.n, 0)::BIGINT AS n_lines, coalesce(names.licenses, '') AS licenses
+FROM d LEFT JOIN best USING (uid) LEFT JOIN lines USING (uid) LEFT JOIN names USING (uid)"""
