@@ -1,78 +1,17 @@
-"""Helpers shared by the corpus operators: shared-folder tables, spans of work, exact ranks.
-
-Everything that outlives one job is a Parquet table under ``spark.checkpoint.dir``: a lost
-executor costs a re-read, never a recomputation, and no file is kept on one machine only.
-"""
+"""Helpers shared by the corpus operators: tables, free names, exact ranks."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terrafold.store import delete, drop_stored, new_path, shared_dir, stored
+
 #: Characters that separate words: space, tab, LF, VT, FF, CR (fixed values).
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Rows that one bucket of an exact rank should hold.
 RANK_ROWS = 50_000
 
-_tables: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines see; one is made only where the session names none (tests)."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="terrafold-")
-        sc.setCheckpointDir(named)
-        named = sc.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _sweep() -> None:
-    while _tables:
-        spark, path = _tables.pop()
-        try:
-            delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone
-            return
-
-
-atexit.register(_sweep)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/terrafold-{name}-{uuid.uuid4().hex}"
-    _tables.append((spark, path))
-    return path
-
-
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: cuts lineage, survives executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.options(**options).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._terrafold_path = path
-    return out
-
-
-def drop_stored(df: DataFrame | None) -> None:
-    """Deletes a table made by :func:`stored`; for rounds of a loop that nothing reads any more."""
-    path = getattr(df, "_terrafold_path", None)
-    if path:
-        delete(df.sparkSession, path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -117,3 +56,6 @@ def exact_rank(df: DataFrame, group: list[str], key: Column, out: str, rows: int
     within = Window.partitionBy(g, b).orderBy(key, *(ties or []))
     joined = cut.withColumn(local, F.row_number().over(within)).join(bases, [g, b])
     return joined.select(*(F.col(f"`{c}`") for c in df.columns), *more, (F.col(base) + F.col(local) - 1).cast("long").alias(out))
+
+
+__all__ = ["delete", "documents", "drop_stored", "exact_rank", "free_name", "new_path", "shared_dir", "shuffle_width", "stored", "table"]

@@ -54,7 +54,7 @@ def licenses() -> str:
         return f"regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+')"
 
     def grams(w: str) -> str:
-        return f"list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
+        return f"list_distinct(list_transform(list_zip({w}[:-2], {w}[2:]), lambda p: p[1] || ' ' || p[2]))"
 
     values = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(TEMPLATES))
     return f"""
