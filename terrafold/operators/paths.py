@@ -46,8 +46,29 @@ def sssp(edges: DataFrame, seeds: DataFrame, limit: float = math.inf) -> DataFra
 
 
 def reachable_set(edges: DataFrame, start: int, max_cost: float = math.inf) -> DataFrame:
+    """node, dist of everything within ``max_cost`` of a node."""
     seeds = edges.sparkSession.range(1).select(F.lit(0).cast("long").alias("source"), F.lit(start).cast("long").alias("node"))
-    return sssp(edges, seeds, max_cost).select("node", "dist")
+    return distances(edges, seeds, max_cost).select("node", "dist")
+
+
+def distances(edges: DataFrame, seeds: DataFrame, limit: float = math.inf) -> DataFrame:
+    """As :func:`sssp`; graphs that may be broadcast are searched by seed in parallel, larger ones relaxed set-wise."""
+    if edges.count() > BROADCAST_EDGES:
+        return sssp(edges, seeds, limit)
+    e = edges.select("src", "dst", "w").toPandas()
+    ids = np.unique(np.concatenate([e.src.to_numpy(), e.dst.to_numpy()])) if len(e) else np.empty(0, np.int64)
+    graph = Kernel(ids, np.zeros((len(ids), 3)), np.zeros(len(ids)), e.src.to_numpy(), e.dst.to_numpy(), e.w.to_numpy())
+    shared = edges.sparkSession.sparkContext.broadcast(graph)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        k = shared.value
+        for b in batches:
+            for source, node in zip(b.source, b.node, strict=True):
+                found = k.spread(k.index(int(node)), limit) if k.index(int(node)) is not None else {}
+                at = k.ids[list(found)] if found else np.array([node])
+                yield pd.DataFrame({"source": int(source), "node": at, "dist": list(found.values()) or [0.0]})
+
+    return seeds.select("source", "node").distinct().mapInPandas(run, "source long, node long, dist double")
 
 
 def landmarks(edges: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
@@ -164,6 +185,21 @@ class Kernel:
             return [], math.inf, seen, "unreachable"
         return self.trace(sides[0][1], meet) + self.trace(sides[1][1], meet)[::-1][1:], best, seen, "ok"
 
+    def spread(self, start: int, limit: float) -> dict[int, float]:
+        """Distances of all nodes within ``limit``, by their place in ``ids``."""
+        best, done, heap = {start: 0.0}, {}, [(0.0, start)]
+        while heap:
+            d, u = heapq.heappop(heap)
+            if u in done:
+                continue
+            done[u] = d
+            for e in range(self.at[u], self.at[u + 1]):
+                v, c = self.to[e], d + self.w[e]
+                if c <= limit and c < best.get(v, math.inf):
+                    best[v] = c
+                    heapq.heappush(heap, (c, v))
+        return done
+
     @staticmethod
     def trace(parent: dict[int, int], node: int) -> list[int]:
         out = []
