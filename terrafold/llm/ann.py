@@ -1,53 +1,149 @@
 """Approximate nearest neighbours by a forest of hash-string prefixes.
 
-Every tree gives each vector a long string of symbols (the index of the largest coordinate after a
-random rotation, with its sign: vectors near each other on the sphere often agree). A tree is kept as sorted
-arrays of those strings, cut by their first symbol, and further by salt where many vectors share it.
-
-Descent: in every tree a query finds how many strings share a prefix of each length with its own.
-Ascent: all trees of a query go up together, a symbol at a time, until so many candidates share a prefix
-of that length in some tree; every one of those is then taken, without a cap. A query that
-would find too few below the roots takes the roots: all vectors. Candidates get exact distances.
-
-Equal vectors are indexed once; their smallest ids stand for them (no list of k neighbours can need
-more than the k + 1 smallest).
+Every tree gives each vector a long string of symbols: the index of the largest coordinate after a
+random rotation, with its sign; vectors near each other on the sphere often agree. The rows are indexed
+where they lie, in segments of a bounded number of rows, each with a sorted array of strings for every tree;
+nothing is shuffled but results, and equal vectors, however many, spread over segments like any others.
+
+Descent: a query goes down each tree with its own string and with those of the next best cells, and
+finds how many strings of the segment share a prefix of each length with one of them.
+Ascent: all trees go up together, a symbol at a time, until enough strings share a prefix
+of that length; every one of those is then a candidate, without a cap. A segment with too few at any
+length gives all its rows. Candidates get exact distances, and the best of all segments are merged.
+
+Queries are served in blocks of bounded size, each broadcast to all segments.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TREES, SYMBOLS, SEED = 24, 8, 7
-#: Candidates (over all trees) at which the ascent ends, and rows of one sorted array.
-ENOUGH, ARRAY_ROWS = 1000, 2000
-ROOT_SALTS = 16
+from terrafold.llm.common import stored
+
+TREES, SYMBOLS, PROBES, SEED = 64, 4, 24, 7
+#: Matches (over all trees and probes) at which the ascent ends; rows of a segment; queries of a block.
+ENOUGH, SEGMENT, BLOCK = 256, 8192, 4096
+#: Best coordinates of each of the first two symbols whose pairs are probed, and distances computed at a time.
+NEXT, STEP = 8, 200_000
+BITS = 8
 
 
 def rotations(dim: int, trees: int = TREES, symbols: int = SYMBOLS, seed: int = SEED) -> np.ndarray:
     """Random directions, a matrix for each symbol of each tree; the seed alone decides them."""
-    return np.random.default_rng(seed).standard_normal((trees, symbols, dim, dim), dtype=np.float32)
+    return np.random.default_rng(seed).standard_normal((trees, symbols, dim, min(dim, 1 << (BITS - 1))), dtype=np.float32)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+
+
+def _symbol(x: np.ndarray) -> np.ndarray:
+    at = np.abs(x).argmax(axis=1)
+    return (2 * at + (x[np.arange(len(x)), at] < 0)).astype(np.uint64)
 
 
 def strings(v: np.ndarray, rot: np.ndarray) -> np.ndarray:
-    """(rows, trees) hash strings: a byte for each symbol, the first in the highest byte; up to 64 dimensions get an own symbol for each signed axis."""
+    """(rows, trees) hash strings: a byte for each symbol, the first in the highest."""
     trees, symbols = rot.shape[:2]
-    out = np.zeros((len(v), trees), np.uint64)
-    unit = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    out, unit = np.zeros((len(v), trees), np.uint64), _unit(v)
     for t in range(trees):
         for s in range(symbols):
+            out[:, t] = out[:, t] << np.uint64(BITS) | _symbol(unit @ rot[t, s])
+    return out
+
+
+def probes(v: np.ndarray, rot: np.ndarray, count: int = PROBES) -> np.ndarray:
+    """(rows, trees, count) strings: the own one first, then those whose first two symbols fit next best."""
+    trees, symbols = rot.shape[:2]
+    own, unit = strings(v, rot), _unit(v)
+    if symbols < 2 or count <= 1:
+        return own[:, :, None]
+    low = np.uint64(BITS * (symbols - 2))
+    rest = own & ((np.uint64(1) << low) - np.uint64(1))
+    out = np.empty((len(v), trees, min(count, min(NEXT, rot.shape[3]) ** 2)), np.uint64)
+    rows = np.arange(len(v))[:, None]
+    for t in range(trees):
+        pick = []
+        for s in (0, 1):
             x = unit @ rot[t, s]
-            at = np.abs(x).argmax(axis=1)
-            symbol = (2 * at + (x[np.arange(len(x)), at] < 0)) % 256
-            out[:, t] |= symbol.astype(np.uint64) << np.uint64(8 * (7 - s))
+            best = np.argsort(-np.abs(x), axis=1, kind="stable")[:, :NEXT]
+            size = np.abs(x)[rows, best]
+            pick.append(((2 * best + (x[rows, best] < 0)).astype(np.uint64), (size[:, :1] - size) ** 2))
+        cost = (pick[0][1][:, :, None] + pick[1][1][:, None, :]).reshape(len(v), -1)
+        both = (pick[0][0][:, :, None] << np.uint64(BITS) | pick[1][0][:, None, :]).reshape(len(v), -1)
+        order = np.argsort(cost, axis=1, kind="stable")[:, : out.shape[2]]
+        out[:, t] = both[rows, order] << low | rest[:, t, None]
     return out
 
 
+class Forest:
+    """The trees of one segment."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, rot: np.ndarray) -> None:
+        self.ids, self.v, self.symbols = ids, v, rot.shape[1]
+        codes = strings(v, rot)
+        self.order = np.argsort(codes, axis=0, kind="stable")
+        self.codes = np.take_along_axis(codes, self.order, axis=0)
+
+    def ranges(self, asked: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last + 1 places of the strings that share ``depth`` symbols with each of (queries, trees, probes).
+
+        Probes that agree to that length count once.
+        """
+        keep = np.uint64(BITS * (self.symbols - depth))
+        prefix = np.sort(asked >> keep, axis=2)
+        lo = np.empty(prefix.shape, np.int64)
+        hi = np.empty(prefix.shape, np.int64)
+        for t in range(prefix.shape[1]):
+            own = self.codes[:, t] >> keep
+            lo[:, t] = np.searchsorted(own, prefix[:, t], "left")
+            hi[:, t] = np.searchsorted(own, prefix[:, t], "right")
+        again = np.zeros(prefix.shape, bool)
+        again[:, :, 1:] = prefix[:, :, 1:] == prefix[:, :, :-1]
+        hi[again] = lo[again]
+        return lo, hi
+
+    def candidates(self, asked: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) pairs, each once."""
+        todo, out = np.arange(len(asked)), []
+        for depth in range(self.symbols, 0, -1):
+            if not len(todo):
+                break
+            lo, hi = self.ranges(asked[todo], depth)
+            full = (hi - lo).sum(axis=(1, 2)) >= enough
+            q, t, p = np.nonzero((hi - lo)[full])
+            first, size = lo[full][q, t, p], (hi - lo)[full][q, t, p]
+            at = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(size) else np.empty(0, np.int64)
+            rows = self.order[at, np.repeat(t, size)]
+            out.append(np.unique(np.repeat(todo[full][q], size) * len(self.ids) + rows))
+            todo = todo[~full]
+        out.append((todo[:, None] * len(self.ids) + np.arange(len(self.ids))[None]).ravel())
+        pairs = np.concatenate(out)
+        return pairs // len(self.ids), pairs % len(self.ids)
+
+    def nearest(self, q_ids: np.ndarray, q: np.ndarray, asked: np.ndarray, k: int, enough: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """query ids, row ids and distances of the k nearest candidates of each query but itself."""
+        qi, ri = self.candidates(asked, enough)
+        other = q_ids[qi] != self.ids[ri]
+        qi, ri = qi[other], ri[other]
+        d = np.concatenate([np.sqrt(((q[qi[i : i + STEP]] - self.v[ri[i : i + STEP]]) ** 2).sum(axis=1)) for i in range(0, len(qi), STEP)] or [np.empty(0)])
+        order = np.lexsort((self.ids[ri], d, qi))
+        qi, ri, d = qi[order], ri[order], d[order]
+        # an id that comes twice counts once, by its nearer vector
+        key = np.stack([qi, self.ids[ri]], axis=1)
+        once = np.sort(np.unique(key, axis=0, return_index=True)[1])
+        qi, ri, d = qi[once], ri[once], d[once]
+        nth = np.arange(len(qi)) - np.searchsorted(qi, qi, "left")
+        top = nth < k
+        return q_ids[qi[top]], self.ids[ri[top]], d[top]
+
+
 def valid_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id and v (array of double) of rows that take part.
 
@@ -61,99 +157,60 @@ def valid_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     return good.filter(F.size("v") == (first["d"] or 0))
 
 
-def _coded(vectors: DataFrame, dim: int, trees: int, symbols: int, seed: int) -> DataFrame:
-    """vec_id, tree, code (signed long, in the order of the strings)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rot = rotations(dim, trees, symbols, seed)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            code = (strings(v, rot) ^ np.uint64(1 << 63)).view(np.int64)
-            n = len(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(b.column(0).to_numpy(), trees)), pa.array(np.tile(np.arange(trees, dtype=np.int32), n)), pa.array(code.reshape(-1))],
-                names=["vec_id", "tree", "code"],
-            )
-
-    return vectors.select("vec_id", "v").mapInArrow(run, "vec_id long, tree int, code long")
-
-
-def _shared(own: np.ndarray, query: int, symbols: int) -> list[tuple[int, int]]:
-    """For each prefix length from 0 on: the range of the sorted array that shares it with ``query``."""
-    out = []
-    for d in range(symbols + 1):
-        keep = 8 * (8 - d)
-        low = (query >> keep) << keep
-        out.append((int(np.searchsorted(own, low, "left")), int(np.searchsorted(own, min(low + (1 << keep) - 1, 2**63 - 1), "right"))))
-    return out
-
-
-def _distance(a: Column, b: Column, dim: int) -> Column:
-    if dim > 128:
-        return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    terms = [(F.get(a, F.lit(i)) - F.get(b, F.lit(i))) for i in range(dim)]
-    return F.sqrt(reduce(lambda x, y: x + y, [t * t for t in terms]))
-
-
-def neighbours(rows: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", trees: int = TREES, symbols: int = SYMBOLS, seed: int = SEED, enough: int = ENOUGH) -> DataFrame:
+def neighbours(
+    rows: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding",
+    trees: int = TREES, symbols: int = SYMBOLS, count: int = PROBES, seed: int = SEED, enough: int = ENOUGH,
+) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query, without itself.
 
     ``is_query`` is a condition on ``vec_id``. score is the Euclidean distance of the original vectors
-    in doubles; ties go to the smaller id. Repeated rows of one id and vector count once. See
-    :func:`valid_vectors` for the rows that take part. An empty table gives an empty result.
+    in doubles; ties go to the smaller id. An id that comes twice counts once, by its nearer vector (as a query: by the
+    smaller vector). See :func:`valid_vectors` for the rows that take part. An empty table gives an empty result.
     """
     spark = rows.sparkSession
-    vectors = valid_vectors(rows, vec_id, embedding).dropDuplicates(["vec_id", "v"])
-    first = vectors.select(F.size("v").alias("d")).first()
-    if first is None:
+    vectors = valid_vectors(rows, vec_id, embedding)
+    queries = vectors.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    total = queries.count()
+    schema = "query_id long, vec_id long, score double"
+    found = None
+    blocks = -(-total // BLOCK)
+    for i in range(blocks):
+        block = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).orderBy("vec_id").collect()  # about BLOCK rows
+        if not block:
+            continue
+        q_ids, q = np.array([r["vec_id"] for r in block], np.int64), np.array([r["v"] for r in block], float)
+        shared = spark.sparkContext.broadcast((q_ids, q, probes(q, rotations(q.shape[1], trees, symbols, seed), count)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            q_ids, q, asked = shared.value
+            rot = rotations(q.shape[1], trees, symbols, seed)
+            for ids, v in _segments(batches, q.shape[1]):
+                a, b, d = Forest(ids, v, rot).nearest(q_ids, q, asked, k, enough)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], names=["query_id", "vec_id", "score"])
+
+        part = vectors.mapInArrow(run, schema)
+        if blocks > 1:
+            part = stored(part, "ann")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = first["d"]
-    nth = Window.partitionBy("v").orderBy("vec_id")
-    few = vectors.withColumn("n", F.row_number().over(nth)).filter(F.col("n") <= k + 1).withColumn("rep", F.min("vec_id").over(Window.partitionBy("v")))
-    members = few.select("rep", "vec_id")
-    reps = few.filter("n = 1").select(F.col("rep").alias("vec_id"), "v")
-    queries = vectors.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-
-    coded = _coded(reps, dim, trees, symbols, seed).withColumn("sym", F.shiftright("code", 56).cast("int"))
-    asked = _coded(queries.select(F.col("query_id").alias("vec_id"), F.col("qv").alias("v")), dim, trees, symbols, seed).withColumnRenamed("vec_id", "query_id").withColumn("sym", F.shiftright("code", 56).cast("int"))
-    # one row for each tree and first symbol: 256 * trees at most
-    arrays = coded.groupBy("tree", "sym").agg(F.ceil(F.count(F.lit(1)) / ARRAY_ROWS).cast("int").alias("salts"))
-    index = coded.join(F.broadcast(arrays), ["tree", "sym"]).select("tree", "sym", F.pmod(F.xxhash64("vec_id"), "salts").cast("int").alias("salt"), "vec_id", "code")
-    routed = asked.join(F.broadcast(arrays), ["tree", "sym"]).select("tree", "sym", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "query_id", "code")
-
-    def descend(_: tuple, own: pa.Table, qs: pa.Table) -> pa.Table:
-        codes = np.sort(own["code"].to_numpy())
-        out = [(q, d, hi - lo) for q, c in zip(qs["query_id"].to_pylist(), qs["code"].to_pylist(), strict=True) for d, (lo, hi) in enumerate(_shared(codes, c, symbols)) if d and hi > lo]
-        q, d, n = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(q, pa.int64()), "depth": pa.array(d, pa.int32()), "n": pa.array(n, pa.int64())})
-
-    keys = ["tree", "sym", "salt"]
-    depths = index.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInArrow(descend, "query_id long, depth int, n long")
-    reached = depths.groupBy("query_id", "depth").agg(F.sum("n").alias("n"))
-    stop = reached.filter(F.col("n") >= enough).groupBy("query_id").agg(F.max("depth").alias("stop"))
-
-    def ascend(_: tuple, own: pa.Table, qs: pa.Table) -> pa.Table:
-        codes, ids = own["code"].to_numpy(), own["vec_id"].to_numpy()
-        order = np.argsort(codes, kind="stable")
-        codes, ids = codes[order], ids[order]
-        q_out, v_out = [], []
-        for q, c, d in zip(qs["query_id"].to_pylist(), qs["code"].to_pylist(), qs["stop"].to_pylist(), strict=True):
-            lo, hi = _shared(codes, c, symbols)[d]
-            q_out.append(np.full(hi - lo, q, np.int64))
-            v_out.append(ids[lo:hi])
-        join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-        return pa.table({"query_id": join(q_out), "vec_id": join(v_out)})
-
-    below = routed.join(stop, "query_id")
-    found = index.groupBy(*keys).cogroup(below.groupBy(*keys)).applyInArrow(ascend, "query_id long, vec_id long").distinct()
-    high = queries.select("query_id").distinct().join(stop, "query_id", "left_anti").select("query_id", F.explode(F.sequence(F.lit(0), F.lit(ROOT_SALTS - 1))).alias("salt"))
-    roots = reps.select("vec_id", F.pmod(F.xxhash64("vec_id"), F.lit(ROOT_SALTS)).cast("int").alias("salt")).join(high, "salt").select("query_id", "vec_id")
-
-    pairs = found.unionByName(roots).join(reps, "vec_id").join(queries, "query_id").select("query_id", F.col("vec_id").alias("rep"), _distance(F.col("qv"), F.col("v"), dim).alias("score"))
-    near = Window.partitionBy("query_id").orderBy("score", "rep")
-    top = pairs.withColumn("n", F.row_number().over(near)).filter(F.col("n") <= k + 1).drop("n")
-    full = top.join(members, "rep").filter(F.col("vec_id") != F.col("query_id"))
-    last = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return full.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    near = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return best.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _segments(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of SEGMENT rows at most, from the batches of a partition."""
+    ids, vs, n = [], [], 0
+    for b in batches:
+        for lo in range(0, b.num_rows, SEGMENT):
+            piece = b.slice(lo, SEGMENT)
+            ids.append(piece.column(0).to_numpy())
+            vs.append(piece.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+            n += piece.num_rows
+            if n >= SEGMENT:
+                whole, v = np.concatenate(ids), np.concatenate(vs)
+                yield whole[:SEGMENT], v[:SEGMENT]
+                ids, vs, n = [whole[SEGMENT:]], [v[SEGMENT:]], n - SEGMENT
+    if n:
+        yield np.concatenate(ids), np.concatenate(vs)
