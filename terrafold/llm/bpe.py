@@ -18,15 +18,18 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS, CACHE_PAIRS = 300_000, 4_000_000
+CACHE_WORDS, CACHE_PAIRS = 400_000, 4_000_000
 #: Texts of these characters alone need no library to be normalised and cut into words.
-_PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]")
+_PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\u024f]")
+LETTER, NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: The vocabulary's splitter for those characters, lower-cased; its branches begin with different characters, so the most frequent comes first.
+_SPLIT = re.compile(f"[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBER}]|[^\\s{LETTER}{NUMBER}]+")
+_NEVER = 1 << 60
 
 
 def byte_letters() -> list[str]:
@@ -46,23 +49,26 @@ class Merger:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.merges = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in reversed(list(enumerate(pairs)))}
+        self.made = [self.vocab[a + b] for a, b in pairs]
         self.token = {i: t for t, i in self.vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token |= {i: t for t, i in self.special.items()}
         self.width = max(self.token) + 1
+        #: Rank of each mergeable pair (a * width + b).
+        self.rank = {self.vocab[a] * self.width + self.vocab[b]: r for r, (a, b) in reversed(list(enumerate(pairs)))}
         self.longest = max(map(len, self.vocab))
         self.letters = byte_letters()
         self.library = Tokenizer.from_file(path)
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        steps = spec["pre_tokenizer"]["pretokenizers"]
-        self.find = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")).findall
         self.own: dict[int, bool] = {}
         self.pair_keys = np.empty(0, np.int64)
         self.pair_ok = np.empty(0, bool)
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str | int, list[int]] = {}
+        self.shown: dict[str | int, str] = {}
+        self.text: dict[str | int, str] = {}
         self.decimal = {i: str(i) for i in self.token}
         self.merged_words = 0
+        self._forget()
 
     # words -----------------------------------------------------------------
 
@@ -73,12 +79,19 @@ class Merger:
 
     def merge(self, ids: list[int]) -> list[int]:
         """The plain algorithm: join the leftmost pair of the lowest rank until none is left."""
-        ids, get = list(ids), self.merges.get
-        while len(ids) > 1:
-            rank, at, made = min(((m[0], i, m[1]) for i, p in enumerate(zip(ids, ids[1:])) if (m := get(p))), default=(0, -1, 0))
-            if at < 0:
+        ids, get, width, made = list(ids), self.rank.get, self.width, self.made
+        ranks = [get(a * width + b, _NEVER) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            low = min(ranks)
+            if low == _NEVER:
                 break
-            ids[at : at + 2] = [made]
+            i = ranks.index(low)
+            ids[i : i + 2] = (made[low],)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] * width + ids[i], _NEVER)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] * width + ids[i + 1], _NEVER)
         return ids
 
     def parts(self, token: int) -> list[int]:
@@ -150,17 +163,20 @@ class Merger:
     def _cut(self, text: str) -> list[str]:
         """Words of a piece without special tokens; those the library cut are marked by a leading NUL."""
         if not _PLAIN.search(text):
-            return self.find(text.lower())
+            return _SPLIT.findall(text.lower())
         clean = self.library.normalizer.normalize_str(text)
         return ["\0" + w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(clean)]
 
-    def encode(self, texts: Iterable[str]) -> list[list[int]]:
-        """Ids of whole texts, without special tokens added; those written in a text keep their ids."""
+    def _forget(self) -> None:
+        self.words = {i: [i] for i in self.special.values()}
+        self.shown = {i: self.decimals([i]) for i in self.special.values()}
+        self.text = {i: self.decode([i]) for i in self.special.values()}
+
+    def _known(self, texts: Iterable[str]) -> list[list[str | int]]:
+        """Texts as words (special tokens as their ids), all of which have an entry in the caches."""
         cut: list[list[str | int]] = []
-        mixed: set[int] = set()
-        for i, t in enumerate(texts):
+        for t in texts:
             if self.special_split and any(s in t for s in self.special):
-                mixed.add(i)
                 row: list[str | int] = []
                 for piece in self.special_split.split(t):
                     row += [self.special[piece]] if piece in self.special else self._cut(piece) if piece else []
@@ -168,14 +184,28 @@ class Merger:
             else:
                 cut.append(self._cut(t))
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        known, letters = self.words, self.letters
-        new = [w for w in set(chain.from_iterable(cut)).difference(known) if isinstance(w, str)]
-        shown = [w[1:] if w[0] == "\0" else "".join([letters[b] for b in w.encode("utf-8", "surrogatepass")]) for w in new]
-        known.update(zip(new, self.encode_words(shown), strict=True))
-        plain = known.__getitem__
-        either = lambda w: known[w] if isinstance(w, str) else [w]
-        return [list(chain.from_iterable(map(either if i in mixed else plain, row))) for i, row in enumerate(cut)]
+            self._forget()
+        letters = self.letters
+        new = list(set().union(*cut).difference(self.words))
+        spelled = [w[1:] if w[0] == "\0" else "".join([letters[b] for b in w.encode("utf-8", "surrogatepass")]) for w in new]
+        for w, ids in zip(new, self.encode_words(spelled), strict=True):
+            self.words[w], self.shown[w], self.text[w] = ids, self.decimals(ids), self.decode(ids)
+        return cut
+
+    def encode(self, texts: Iterable[str]) -> list[list[int]]:
+        """Ids of whole texts, without special tokens added; those written in a text keep their ids."""
+        cut = self._known(texts)
+        get = self.words.__getitem__
+        return [list(chain.from_iterable(map(get, row))) for row in cut]
+
+    def described(self, texts: Iterable[str]) -> list[tuple[int, str, str]]:
+        """For each text: how many ids, the ids in decimals, and their decoding; both joins go word by word, as the decoding of a text is that of its words."""
+        out = []
+        for row in self._known(texts):
+            ids = [x for x in map(self.shown.__getitem__, row) if x]
+            shown = " ".join(ids)
+            out.append((shown.count(" ") + 1 if shown else 0, shown, " ".join([x for x in map(self.text.__getitem__, row) if x])))
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The library's text of ids where the vocabulary names no decoder: tokens with spaces between."""
@@ -213,7 +243,7 @@ def _groups(texts: list[str]) -> Iterator[list[str]]:
 def encoded(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str | None = None) -> DataFrame:
     """``keep`` columns and ``ids`` (array of int) of every whole text; null and empty texts: none."""
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    src = docs.select(*(docs[c].alias(f"k_{i}") for i, c in enumerate(keep)), docs[text].alias("t"))
+    src = docs.select(*(F.col(f"`{c}`").alias(f"k_{i}") for i, c in enumerate(keep)), F.col(f"`{text}`").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(path)
@@ -251,10 +281,10 @@ def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabul
         for b in batches:
             n, a, d = [], [], []
             for group in _groups([t or "" for t in b.column(1).to_pylist()]):
-                for ids in m.encode(group):
-                    n.append(len(ids))
-                    a.append(sha(m.decimals(ids)))
-                    d.append(sha(m.decode(ids)))
+                for count, ids, text_ in m.described(group):
+                    n.append(count)
+                    a.append(sha(ids))
+                    d.append(sha(text_))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     src = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("t"))
