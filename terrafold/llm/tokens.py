@@ -12,26 +12,28 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from terrafold.llm.bpe import LETTER, NUMBER, byte_letters
 from terrafold.llm.common import new_path, shuffle_width
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 ROW_GROUP, PAGE = 16 << 20, 256 << 10
 #: Distinct words whose ids a worker remembers; the memory is bounded, the results don't depend on it.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 #: Texts of these characters alone are split into words here; all others go to the library whole.
-_PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]")
+_PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\u024f]")
+#: The vocabulary's splitter for those characters. Its branches begin with different characters, so the most frequent comes first.
+_SPLIT = re.compile(f" ?[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{NUMBER}]+| ?[^\\s{LETTER}{NUMBER}]+|\\s+(?!\\S)|\\s+")
 WRITE_OPTIONS = {
     "parquet.block.size": str(ROW_GROUP),
     "parquet.page.size": str(PAGE),
@@ -42,6 +44,19 @@ WRITE_OPTIONS = {
 }
 
 
+class _Words(dict[str, bytes]):
+    """Ids of words as packed 32-bit integers; a word that isn't there yet is given to the library's model."""
+
+    def __init__(self, model, letters: list[str]) -> None:  # noqa: ANN001
+        self.tokenize = model.tokenize
+        self.letters = {i: c for i, c in enumerate(letters) if chr(i) != c}
+
+    def __missing__(self, word: str) -> bytes:
+        shown = word.encode().decode("latin-1").translate(self.letters)
+        out = self[word] = array("i", [t.id for t in self.tokenize(shown)]).tobytes()
+        return out
+
+
 class WordEncoder:
     """The library's ids of whole texts, with the ids of each distinct word asked for once.
 
@@ -54,20 +69,16 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words: dict[str, list[int]] = {}
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.words = _Words(self.tokenizer.model, byte_letters())
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        cut = [None if _PLAIN.search(t) or any(s in t for s in self.special) else self.split(t) for t in texts]
+    def packed(self, text: str) -> bytes:
+        """Ids of one text as 32-bit integers."""
+        if _PLAIN.search(text) or any(s in text for s in self.special):
+            return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        known = self.words
-        new = list(set().union(*(c for c in cut if c)).difference(known))
-        for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[word] = e.ids
-        get = known.__getitem__
-        return [self.tokenizer.encode(t, add_special_tokens=False).ids if c is None else list(chain.from_iterable(map(get, c))) for t, c in zip(texts, cut, strict=True)]
+        return b"".join(map(self.words.__getitem__, _SPLIT.findall(text)))
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -88,16 +99,14 @@ def write_tokens(docs: DataFrame, target: str, text: str = "text", doc_id: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, at, enc = TaskContext.get().partitionId(), 0, encoder(path)
+        part, at, enc, end = TaskContext.get().partitionId(), 0, encoder(path), array("i", [end_id]).tobytes()
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 piece = b.slice(lo, 256)
-                ids = enc.ids([t or "" for t in piece.column(1).to_pylist()])
-                for x in ids:
-                    x.append(end_id)
-                n = np.fromiter(map(len, ids), np.int64, len(ids))
+                ids = [enc.packed(t or "") + end for t in piece.column(1).to_pylist()]
+                n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
                 ends = np.cumsum(n)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
+                flat = np.frombuffer(b"".join(ids), np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(at + ends - n), pa.array(n), lists], names=["doc_id", "part", "local_start", "n_tokens", "tokens"])
                 at += int(ends[-1])
@@ -112,7 +121,7 @@ def read_tokens(spark, target: str) -> DataFrame:  # noqa: ANN001
     sizes = rows.groupBy("part").agg(F.sum("n_tokens").alias("size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))  # a row for each file
-    return rows.join(bases, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "tokens")
+    return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "tokens")
 
 
 def digests(rows: DataFrame) -> DataFrame:
