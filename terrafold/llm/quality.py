@@ -64,7 +64,7 @@ def measured(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) ->
     Null texts count as empty: every count is 0 and every ratio null. Windows of three words are
     compared by their 64-bit hash (a chance agreement in a text of 20,000 words: about 1e-11).
     """
-    df = docs.select(*(docs[c].alias(f"k_{i}") for i, c in enumerate(keep)), F.coalesce(docs[text], F.lit("")).alias("t"))
+    df = docs.select(*(F.col(f"`{c}`").alias(f"k_{i}") for i, c in enumerate(keep)), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     df = df.withColumn("w", F.filter(F.split("t", SPACE), lambda x: x != ""))
     df = df.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: F.translate(x, BLANKS, "") != ""))
     df = df.withColumn("n", F.size("w"))
@@ -135,5 +135,9 @@ def verdicts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
 
 def passing(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text is kept, with all their columns, unchanged."""
-    names = tuple(docs.columns)
-    return verdicts(docs, text, names).filter("kept").select(*(F.col(f"`{c}`") for c in names))
+    names = [f"in_{i}" for i in range(len(docs.columns))]
+    judged = verdicts(docs.toDF(*names), names[docs.columns.index(text)], tuple(names))
+    # a filter on computed columns alone would be pushed down as a copy of every rule's expression for each use of it;
+    # one on a column that isn't a function of the row stays above the projection
+    judged = judged.select(*names, "kept", F.monotonically_increasing_id().alias("mark"))
+    return judged.filter(F.col("kept") & (F.col("mark") >= 0)).select(*names).toDF(*docs.columns)
