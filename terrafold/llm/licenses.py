@@ -70,9 +70,8 @@ class Matcher:
         for i, g in enumerate(grams):
             for x in g:
                 self.index.setdefault(x, []).append(i)
-        self.low = [n * least / (2 - least) for n in self.sizes]
-        self.high = [n * (2 - least) / least for n in self.sizes]
-        self.fewest, self.most = min(self.low), max(self.high)
+        self.fewest = min(n * least / (2 - least) for n in self.sizes) - 1e-6
+        self.most = max(n * (2 - least) / least for n in self.sizes) + 1e-6
 
     def best(self, w: list[str]) -> tuple[float, str, int] | None:
         """(coefficient, licence, template) of the best template with the least coefficient or more."""
@@ -84,7 +83,7 @@ class Matcher:
         n = len(set(zip(w, w[1:])))
         if not self.fewest <= n <= self.most:
             return None
-        shared = Counter(i for x in set(hit) for i in self.index[x] if self.low[i] <= n <= self.high[i])
+        shared = Counter(i for x in set(hit) for i in self.index[x] if 2 * min(n, self.sizes[i]) / (n + self.sizes[i]) >= self.least)
         scored = [(2 * c / (n + self.sizes[i]), self.names[i], i) for i, c in shared.items()]
         top = [s for s in scored if s[0] >= self.least]
         return min(top, key=lambda s: (-s[0], s[1], s[2])) if top else None

@@ -68,7 +68,7 @@ units AS (
 w AS (SELECT uid, unit, {words("x")} AS w FROM units),
 g AS (SELECT uid, unit, {grams("w")} AS g FROM w WHERE len(w) <= 1000),
 m AS (SELECT uid, unit, name, i, 2 * len(list_intersect(g.g, tpl.g)) / (len(g.g) + len(tpl.g)) AS dice
-      FROM g JOIN tpl ON len(g.g) BETWEEN len(tpl.g) * {LEAST} / (2 - {LEAST}) AND len(tpl.g) * (2 - {LEAST}) / {LEAST}
+      FROM g JOIN tpl ON 2 * least(len(g.g), len(tpl.g)) / (len(g.g) + len(tpl.g)) >= {LEAST}
       WHERE len(g.g) > 0 AND list_has_any(g.g, tpl.g)),
 hit AS (SELECT uid, unit, name, dice, row_number() OVER () AS u FROM m WHERE dice >= {LEAST}),
 best AS (SELECT uid, arg_min(name, (-dice, name)) AS license, max(dice) AS dice FROM hit GROUP BY uid),
