@@ -29,6 +29,8 @@ SHINGLE, SEED, MAX_BITS = 3, 42, 2
 PARTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Shingles that are summed at a time; bounds memory for very long texts.
 STEP = 1 << 15
+#: Fingerprints that one in so many rows has, or more, are handled apart.
+HOT = 1000
 _UPPER = bytes(range(256)).lower()
 
 
@@ -55,7 +57,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE) -> DataFrame:
     """``keep`` columns and ``fp``, the fingerprint as a signed long."""
-    src = docs.select(*(docs[c].alias(f"k_{i}") for i, c in enumerate(keep)), docs[text].alias("t"))
+    src = docs.select(*(F.col(f"`{c}`").alias(f"k_{i}") for i, c in enumerate(keep)), F.col(f"`{text}`").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -107,12 +109,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     repeated; other columns are never read; an empty table gives an empty result.
     """
     fps = stored(fingerprints(docs, text, (doc_id,), shingle).toDF("doc_id", "fp"), "simhash")
-    own = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    own = fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     named = stored(own.join(_grouped(fps), "fp"), "named")
     # most components are one fingerprint; only the others need a second aggregate
     firsts = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    full = named.join(firsts, "component").select("fp", "component_id")
-    return fps.join(full, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    full = stored(named.join(firsts, "component").select("fp", "component_id", "copies"), "components")
+    # fingerprints of over a thousandth of all rows: a thousand at most, so they are broadcast, and no hot key is shuffled
+    often = F.col("copies") > F.lit(fps.count() / HOT)
+    hot = F.broadcast(full.filter(often).select("fp", F.col("component_id").alias("hot_id"), F.lit(True).alias("is_hot")))
+    marked = fps.join(hot, "fp", "left")
+    rest = marked.filter("is_hot IS NULL").select("doc_id", "fp").join(full.filter(~often).select("fp", "component_id"), "fp")
+    out = rest.unionByName(marked.filter("is_hot").select("doc_id", "fp", F.col("hot_id").alias("component_id")))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
