@@ -9,8 +9,8 @@ from terrafold.store import delete, drop_stored, new_path, shared_dir, stored
 
 #: Characters that separate words: space, tab, LF, VT, FF, CR (fixed values).
 SPACE_CLASS = r"[\x20\x09-\x0D]"
-#: Rows that one bucket of an exact rank should hold.
-RANK_ROWS = 50_000
+#: Buckets of an exact rank for each million rows: a group with a third of them still has short buckets.
+RANK_BUCKETS = 64
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,7 +42,7 @@ def exact_rank(df: DataFrame, group: list[str], key: Column, out: str, rows: int
     ``ties`` are. ``extra`` (the group columns and more) adds its other columns to each row by way
     of the small table of buckets, so a hot group isn't joined as one key. Null groups count as equal.
     """
-    buckets = max(1, -(-rows // RANK_ROWS)) * 16
+    buckets = RANK_BUCKETS * (1 + -(-rows // 1_000_000))
     g, b, n, base, local = (free_name(df, x) for x in ("rank_group", "rank_bucket", "rank_n", "rank_base", "rank_local"))
     whole = F.struct(*(F.col(f"`{c}`").alias(f"g{i}") for i, c in enumerate(group))) if group else F.struct(F.lit(0).alias("g0"))
     cut = df.withColumn(g, whole).withColumn(b, (F.shiftrightunsigned(key, 40) % F.lit(buckets)).cast("int"))

@@ -13,10 +13,10 @@ from __future__ import annotations
 import heapq
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import exact_rank, free_name, shuffle_width, stored
+from terrafold.llm.common import exact_rank, free_name, shuffle_width
 
 #: Slots of one period (more if there are more than a quarter as many sources), and documents in a block.
 PERIOD, BLOCK = 1000, 8
@@ -95,9 +95,18 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, sourc
     has been used up, and shorter sources start over (``mix_epoch`` counts from 0), so all shares hold
     to the end; without it each row comes once, and a source that has run dry leaves its slots empty.
     A source without a positive weight is put after the stream, in no proportion, once.
-    Null is a source of its own; null ids and ties are told apart by a hash of the row's id and text
-    columns, and equal rows come in any order. An empty table gives an empty result.
+    Null is a source of its own; null ids and ties are ordered by id, all their
+    columns, and equal rows come in any order. An empty table gives an empty result. Columns of ``docs`` that have
+    the name of an added one are replaced.
     """
+    docs = docs.drop("mix_position", "mix_slot", "mix_epoch", "mix_target")
+    names = docs.columns
+    inner = [f"in_{i}" for i in range(len(names))]
+    out = _mixed(docs.toDF(*inner), weights, inner[names.index(source)], inner[names.index(doc_id)], block, period, repeat)
+    return out.toDF(*names, *out.columns[len(names) :])
+
+
+def _mixed(docs: DataFrame, weights: dict[str | None, float] | None, source: str, doc_id: str, block: int, period: int, repeat: bool) -> DataFrame:
     spark = docs.sparkSession
     sizes = _sizes(docs, source)
     weights = weights if weights is not None else tempered(sizes)
@@ -123,29 +132,32 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, sourc
 
     # one row for each source and slot of the period: `period` rows, however large the corpus is
     rows = [(s, r, t, slots[s], sizes[s], owed(s) if repeat else need[s], slots[s] / length) for s in slots for r, t in enumerate(place[s])]
-    plan = spark.createDataFrame(rows or [], "s string, r int, t int, k int, n long, owed long, share double")
-    head = plan.filter("r = 0").select("s", "k", "n", "owed", "share")
+    plan = spark.createDataFrame(rows, "s string, r int, t int, k int, n long, owed long, share double")
+    # sources without a weight follow the stream one after the other
+    first = {s: end * block + sum(sizes[x] for x in after[:i]) for after in [sorted((s for s in sizes if s not in slots), key=lambda s: (s is None, s or ""))] for i, s in enumerate(after)}
+    tail = spark.createDataFrame([(s, at) for s, at in first.items()], "s string, at long")
+    head = plan.filter("r = 0").select("s", "k", "n", "owed", "share", F.lit(0).cast("long").alias("at")).union(tail.selectExpr("s", "CAST(NULL AS INT)", "1L", "0L", "0D", "at"))  # a row for each source
 
     total = sum(sizes.values())
     mark = docs.withColumn(key, F.xxhash64(F.col(f"`{doc_id}`")))
     ranked = exact_rank(mark, [source], F.col(key), rank, total, [F.col(f"`{doc_id}`")])
     src = F.col(f"`{source}`")
     a = ranked.join(F.broadcast(head), src.eqNullSafe(head["s"]), "left").drop("s")
-    copies = F.when(F.col("k").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
-        F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil((F.col("owed") * block - F.col(rank)) / F.col("n")) - 1).cast("long"))
-    )
+    again = F.ceil((F.col("owed") * block - F.col(rank)) / F.col("n")) - 1
+    last = F.greatest(F.lit(0), again).cast("long") if repeat else F.lit(0).cast("long")
+    copies = F.when(F.col("k").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), last))
     a = a.withColumn("mix_epoch", F.explode(copies))
     nth = F.col("mix_epoch") * F.col("n") + F.col(rank)
     j = F.floor(nth / block)
     a = a.withColumn("j_", j).withColumn("in_", nth % block).withColumn("r_", (F.col("j_") % F.col("k")).cast("int"))
     cell = plan.select(F.col("s").alias("s_"), F.col("r").alias("pr_"), "t")
     b = a.join(F.broadcast(cell), src.eqNullSafe(cell["s_"]) & (a["r_"] == cell["pr_"]), "left")
-    slot = F.when(F.col("k").isNotNull(), F.floor(F.col("j_") / F.col("k")) * length + F.col("t")).otherwise(F.lit(end) + F.floor(F.col(rank) / block))
-    inside = F.when(F.col("k").isNotNull(), F.col("in_")).otherwise(F.col(rank) % block)
+    served = F.col("k").isNotNull()
+    place_ = F.when(served, (F.floor(F.col("j_") / F.col("k")) * length + F.col("t")) * block + F.col("in_")).otherwise(F.col("at") + F.col(rank))
     return b.select(
         *(F.col(f"`{c}`") for c in names),
-        (slot * block + inside).cast("long").alias("mix_position"),
-        slot.cast("long").alias("mix_slot"),
+        place_.cast("long").alias("mix_position"),
+        F.floor(place_ / block).cast("long").alias("mix_slot"),
         F.col("mix_epoch"),
         F.col("share").alias("mix_target"),
     )
@@ -155,8 +167,9 @@ def mixed_table(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     """``docs`` as the mixed stream: its columns only, repeated as the target asks, laid out in stream order."""
     names = docs.columns
     out = mixed(docs, **options)
+    names = [c for c in names if c in out.columns]
     ordered = out.repartitionByRange(shuffle_width(docs.sparkSession), "mix_position").sortWithinPartitions("mix_position")
     return ordered.select(*(F.col(f"`{c}`") for c in names))
 
 
-__all__ = ["Column", "lag", "mixed", "mixed_table", "schedule", "shares", "stored", "tempered"]
+__all__ = ["lag", "mixed", "mixed_table", "schedule", "shares", "tempered"]
