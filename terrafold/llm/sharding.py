@@ -13,12 +13,12 @@ sees in a round is a sum for each shard and level of demand.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.llm.common import drop_stored, exact_rank, stored
 
-SHARDS, ROUNDS, LAW = 40, 8, "rows"
+SHARDS, ROUNDS, BUCKETS, LAW = 40, 8, 256, "rows"
 
 
 def _granted(demand: list[tuple[int, int, int]], room: dict[int, int]) -> list[tuple[int, int, int, int]]:
@@ -32,6 +32,16 @@ def _granted(demand: list[tuple[int, int, int]], room: dict[int, int]) -> list[t
     return out
 
 
+def _running(asked: DataFrame) -> DataFrame:
+    """``asked`` with ``before``: documents that ask for the same target and level in rows ahead of each, in buckets so that no target is one task's."""
+    cut = asked.withColumn("b", F.pmod(F.xxhash64("g"), F.lit(BUCKETS)).cast("int"))
+    ahead = Window.partitionBy("target", "level").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy("target", "level", "b").agg(F.sum("c").alias("n"))
+    bases = sums.select("target", "level", "b", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    own = Window.partitionBy("target", "level", "b").orderBy("g", "shard").rowsBetween(Window.unboundedPreceding, 0)
+    return cut.withColumn("run", F.sum("c").over(own)).join(bases, ["target", "level", "b"]).withColumn("before", F.col("base") + F.col("run") - F.col("c")).drop("b", "run", "base")
+
+
 def propagated(bundles: DataFrame, caps: dict[int, int], rounds: int = ROUNDS) -> DataFrame:
     """(g, shard, c) after rounds of label propagation under the quotas ``caps``; its input is a stored table."""
     spark, held = bundles.sparkSession, bundles
@@ -48,10 +58,11 @@ def propagated(bundles: DataFrame, caps: dict[int, int], rounds: int = ROUNDS) -
         if not demand:
             break
         quota = spark.createDataFrame(_granted(demand, room), "target int, level int, part long, whole long")  # 40 x 64 rows at most
-        moved = asked.join(F.broadcast(quota), ["target", "level"], "left")
-        go = F.when(wants, F.floor(F.col("c") * F.col("part") / F.col("whole")).cast("long")).otherwise(F.lit(0).cast("long"))
-        moved = moved.select("g", "shard", "target", "c", F.coalesce(go, F.lit(0).cast("long")).alias("go"))
-        now = moved.select("g", "shard", (F.col("c") - F.col("go")).alias("c")).union(moved.filter("go > 0").select("g", F.col("target").alias("shard"), F.col("go").alias("c")))
+        rows = _running(asked.filter(wants)).join(F.broadcast(quota), ["target", "level"])
+        upto = lambda x: F.floor(x * (F.col("part") / F.col("whole")))
+        moved = rows.select("g", "shard", "target", "c", (upto(F.col("before") + F.col("c")) - upto(F.col("before"))).cast("long").alias("go"))
+        stay = asked.filter(~F.coalesce(wants, F.lit(False))).select("g", "shard", "c")
+        now = stay.union(moved.select("g", "shard", (F.col("c") - F.col("go")).alias("c"))).union(moved.select("g", F.col("target").alias("shard"), F.col("go").alias("c")))
         now = stored(now.groupBy("g", "shard").agg(F.sum("c").alias("c")).filter("c > 0"), "bundles")
         settled = sum(p for _, _, p, _ in _granted(demand, room)) == 0
         drop_stored(held)
