@@ -70,7 +70,7 @@ def joined(found: list[Span]) -> str:
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, n_assign, n_access, n_hex, base_sha256, spans and found (array of structs)."""
-    src = docs.select(*(docs[c].alias(f"k_{i}") for i, c in enumerate(keep)), docs[text].alias("t"))
+    src = docs.select(*(F.col(f"`{c}`").alias(f"k_{i}") for i, c in enumerate(keep)), F.col(f"`{text}`").alias("t"))
     kept = src.dtypes[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,15 +142,15 @@ def redacted(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner:
 
     Copied examples and every other row stay as they are. Overlapping live spans are masked as one.
     """
-    uid = free_name(docs, "uid")
+    uid, live_ = free_name(docs, "uid"), free_name(docs, "live_")
     # no shuffle of texts: the id is a hash of what the row holds, and equal rows get equal answers
     key = F.struct(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{owner}`"), F.col(f"`{text}`")).alias("h"))
     src = docs.withColumn(uid, key)
     scanned = stored(scan(src, text, (uid, doc_id, owner)).filter(F.size("found") > 0).toDF("uid", "repo", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "found").dropDuplicates(["uid"]), "redact")
-    live = _judged(scanned, "uid", "repo", "owner").filter("n_live > 0").select(F.col("uid").alias(uid), F.filter("judged", lambda x: x["live"]).alias("live_"))
+    live = _judged(scanned, "uid", "repo", "owner").filter("n_live > 0").select(F.col("uid").alias(uid), F.filter("judged", lambda x: x["live"]).alias(live_))
     joined_ = src.join(live, uid, "left")
     cut = F.aggregate(
-        "live_",
+        live_,
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
         lambda acc, s: F.when(
             s["start"] >= acc["at"],
@@ -158,7 +158,7 @@ def redacted(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner:
         ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))),
         lambda acc: F.concat(acc["out"], F.substring(F.col(f"`{text}`"), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))),
     )
-    new = F.when(F.col("live_").isNull(), F.col(f"`{text}`")).otherwise(cut)
+    new = F.when(F.col(live_).isNull(), F.col(f"`{text}`")).otherwise(cut)
     cols = [new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     out = joined_.select(*cols)
     if n_chars in docs.columns:

@@ -61,16 +61,16 @@ def licenses() -> str:
 WITH d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS t FROM documents),
 tw AS (SELECT i, name, {words("text")} AS w FROM (VALUES {values}) AS v(i, name, text)),
 tpl AS (SELECT i, name, {grams("w")} AS g FROM tw),
-units AS (
+units AS (SELECT row_number() OVER () AS u, * FROM (
   SELECT uid, 'line' AS unit, unnest(string_split(t, chr(10))) AS x FROM d
   UNION ALL SELECT uid, 'block', unnest(string_split_regex(t, '\\n[ \\t]*\\n')) FROM d WHERE regexp_matches(t, '\\n[ \\t]*\\n')
-  UNION ALL SELECT uid, 'whole', t FROM d),
-w AS (SELECT uid, unit, {words("x")} AS w FROM units),
-g AS (SELECT uid, unit, {grams("w")} AS g FROM w WHERE len(w) <= 1000),
-m AS (SELECT uid, unit, name, i, 2 * len(list_intersect(g.g, tpl.g)) / (len(g.g) + len(tpl.g)) AS dice
+  UNION ALL SELECT uid, 'whole', t FROM d)),
+w AS (SELECT u, uid, unit, {words("x")} AS w FROM units),
+g AS (SELECT u, uid, unit, {grams("w")} AS g FROM w WHERE len(w) <= 1000),
+m AS (SELECT u, uid, unit, name, i, 2 * len(list_intersect(g.g, tpl.g)) / (len(g.g) + len(tpl.g)) AS dice
       FROM g JOIN tpl ON 2 * least(len(g.g), len(tpl.g)) / (len(g.g) + len(tpl.g)) >= {LEAST}
       WHERE len(g.g) > 0 AND list_has_any(g.g, tpl.g)),
-hit AS (SELECT uid, unit, name, dice, row_number() OVER () AS u FROM m WHERE dice >= {LEAST}),
+hit AS (SELECT u, any_value(uid) AS uid, any_value(unit) AS unit, arg_min(name, (-dice, name, i)) AS name, max(dice) AS dice FROM m WHERE dice >= {LEAST} GROUP BY u),
 best AS (SELECT uid, arg_min(name, (-dice, name)) AS license, max(dice) AS dice FROM hit GROUP BY uid),
 lines AS (SELECT uid, count(*) AS n FROM hit WHERE unit = 'line' GROUP BY uid),
 names AS (SELECT uid, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM hit GROUP BY uid)
