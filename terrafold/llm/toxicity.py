@@ -22,12 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that the fit uses at most, by class, in the order of a hash of their id.
-MAX_TOXIC, MAX_CLEAN = 3000, 5000
+MAX_TOXIC, MAX_CLEAN = 1500, 2500
 FOLDS, HELD_OUT = 3, 1
 BITS = 18
 WINDOW, MAX_WINDOWS = 24, 8000
 #: A feature labels tokens from this G statistic and this share of toxic texts on.
-LEAST_G, LEAST_SHARE = 18.0, 0.9
+LEAST_G, LEAST_SHARE = 18.0, 0.97
 EPOCHS, RATE, DECAY = 80, 0.5, 1e-4
 #: Marginals from here on join the noisy-or; spans are reported from SPAN on.
 FLOOR, SPAN, THRESHOLD = 0.2, 0.5, 0.7
@@ -66,7 +66,7 @@ def token_labels(texts: list[list[str]], toxic: list[int]) -> set[str]:
             continue
         group = (y, min(zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in own))
         groups.add(group)
-        for f in {f for w in own for f in features(w) if f[0] != "s"}:
+        for f in {f for w in own for f in features(w) if f[0] == "w" or f[0] == "p" and len(f) > 4}:
             seen.setdefault(f, set()).add(group)
     n1 = sum(y for y, _ in groups)
     n0 = len(groups) - n1
@@ -89,9 +89,10 @@ def token_labels(texts: list[list[str]], toxic: list[int]) -> set[str]:
 
 
 def _windows(texts: list[list[str]], toxic: list[int], labelled: set[str], seed: int = 0) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-    """Windows of words with their token labels, half around labelled tokens, half anywhere."""
+    """Windows of words with their token labels: around labelled tokens, around words of clean texts that begin like those, and anywhere."""
     rng = np.random.default_rng(seed)
-    near, far = [], []
+    near, like, far = [], [], []
+    begin = {f"p{f[1:n]}" for f in labelled for n in (4, 5)}
     for words, y in zip(texts, toxic, strict=True):
         if not words:
             continue
@@ -100,11 +101,15 @@ def _windows(texts: list[list[str]], toxic: list[int], labelled: set[str], seed:
         for i in hits[:6]:
             at = max(0, min(i - WINDOW // 2, len(words) - WINDOW))
             near.append((words[at : at + WINDOW], tags[at : at + WINDOW]))
+        if not y:
+            for i in [i for i, w in enumerate(words) if not begin.isdisjoint(features(w))][:8]:
+                at = max(0, min(i - WINDOW // 2, len(words) - WINDOW))
+                like.append((words[at : at + WINDOW], tags[at : at + WINDOW]))
         for _ in range(1 if y else 3):
             at = int(rng.integers(0, max(1, len(words) - WINDOW + 1)))
             far.append((words[at : at + WINDOW], tags[at : at + WINDOW]))
     pick = lambda rows: [rows[i] for i in sorted(rng.permutation(len(rows))[: MAX_WINDOWS])]
-    rows = pick(near) + pick(far)
+    rows = pick(near) + pick(like) + pick(far)
     tags = np.full((len(rows), WINDOW), -1, np.int8)
     for i, (_, t) in enumerate(rows):
         tags[i, : len(t)] = t
