@@ -113,6 +113,11 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dst", "w"))).alias("nbrs"))
 
 
+def neighbours_of(edges: DataFrame, node: int) -> DataFrame:
+    """dst, length, w of one node's edges; the filter reaches a stored graph's scan."""
+    return edges.filter(F.col("src") == node).select("dst", "length", "w")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node_id, component (its smallest node id); nodes without edges are alone."""
     found = connected(stored(edges.filter("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), "pairs"))
@@ -143,4 +148,4 @@ def build_graph(nodes: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
     return edges, stored(nodes.join(components(nodes, edges), "node_id"), "graphnodes")
 
 
-__all__ = ["adjacency", "both_ways", "build_graph", "candidate_edges", "certified", "component_sizes", "components", "degrees", "replaced", "safe_edges", "sampled_safe", "weighted"]
+__all__ = ["adjacency", "both_ways", "build_graph", "candidate_edges", "certified", "component_sizes", "components", "degrees", "neighbours_of", "replaced", "safe_edges", "sampled_safe", "weighted"]

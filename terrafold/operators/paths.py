@@ -299,3 +299,27 @@ def parent_trace(parents: DataFrame, leaves: DataFrame, view: str = "parents") -
         parents=parents,
         leaves=leaves,
     )
+
+
+def register_udtf(nodes: DataFrame, edges: DataFrame, name: str = "shortest_path", weight: float = 1.0) -> None:
+    """SQL table function ``name(start, goal)``: seq, node_id, cost so far; no rows if there is no path."""
+    from pyspark.sql.functions import udtf
+
+    graph = kernel(nodes, edges)
+    if graph is None:
+        raise ValueError("the graph is too large to be broadcast; use by_relaxation")
+    spark = nodes.sparkSession
+    shared = spark.sparkContext.broadcast(graph)
+
+    class ShortestPath:
+        def eval(self, start: int, goal: int):  # noqa: ANN202
+            k = shared.value
+            path, _, _, _, _ = k.search(start, goal, weight, False, 1 << 60, True)
+            total = 0.0
+            for i, node in enumerate(path):
+                if i:
+                    a, b = k.index(path[i - 1]), k.index(node)
+                    total += min(k.w[e] for e in range(k.at[a], k.at[a + 1]) if k.to[e] == b)
+                yield i, node, total
+
+    spark.udtf.register(name, udtf(ShortestPath, returnType="seq int, node_id long, cost double"))

@@ -87,6 +87,16 @@ def test_searches_agree(spark, terrain, free_ids):
             assert math.isclose(sum(w[a, b] for a, b in zip(p, p[1:])), r.cost, rel_tol=1e-6, abs_tol=1e-9)
 
 
+def test_sql_table_function(spark, terrain, free_ids):
+    paths.register_udtf(terrain.nodes, terrain.edges)
+    got = spark.sql(f"SELECT * FROM shortest_path({free_ids[0]}, {free_ids[-1]}) ORDER BY seq").toPandas()
+    q = spark.createDataFrame([(0, free_ids[0], free_ids[-1])], "query_id long, start_id long, goal_id long")
+    want = paths.shortest_paths(terrain.nodes, terrain.edges, q).first()
+    assert got.node_id.tolist() == want["path"] and math.isclose(got.cost.iloc[-1], want["cost"], rel_tol=1e-9)
+    first = navgraph.neighbours_of(terrain.edges, free_ids[0])
+    assert first.count() == navgraph.degrees(terrain.edges).filter(F.col("src") == free_ids[0]).first()["degree"]
+
+
 def test_unreachable_and_missing_nodes(spark, terrain, free_ids):
     lethal = terrain.nodes.filter("lethal").first()["node_id"]
     q = spark.createDataFrame([(0, free_ids[0], lethal), (1, free_ids[0], 10**9), (2, None, free_ids[0])], "query_id long, start_id long, goal_id long")
