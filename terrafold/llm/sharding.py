@@ -2,7 +2,7 @@
 
 Documents with equal texts are linked. They start on the shard that a hash of their id names; in each
 round a document looks at the shards of those it is linked with and asks to move to the one that
-most of them are on. A shard grants moves, largest group first, only while it has room, so no quota
+most of them are on. A shard grants moves, largest group first and bucket by bucket, only while it has room, so no quota
 is ever exceeded. Documents without links are ballast: they fill what is left, and all shards end
 with row counts that differ by one at most, however large a group is.
 
@@ -18,57 +18,50 @@ from pyspark.sql import functions as F
 
 from terrafold.llm.common import drop_stored, exact_rank, stored
 
-SHARDS, ROUNDS, BUCKETS, LAW = 40, 8, 256, "rows"
+SHARDS, ROUNDS, BUCKETS, LAW = 40, 6, 64, "rows"
 
 
-def _granted(demand: list[tuple[int, int, int]], room: dict[int, int]) -> list[tuple[int, int, int, int]]:
-    """(target, level, part, whole): of the moves asked for at a level, part / whole fit; high levels first."""
+def _granted(demand: list[tuple[int, int, int, int]], room: dict[int, int]) -> list[tuple[int, int, int, int, int]]:
+    """(target, level, bucket, part, whole): of the moves asked for, part / whole fit; high levels first, bucket by bucket."""
     out = []
     left = dict(room)
-    for target, level, asked in sorted(demand, key=lambda d: (d[0], -d[1])):
+    for target, level, bucket, asked in sorted(demand, key=lambda d: (d[0], -d[1], d[2])):
         fit = min(asked, max(0, left[target]))
         left[target] -= fit
-        out.append((target, level, fit, asked))
+        out.append((target, level, bucket, fit, asked))
     return out
 
 
-def _running(asked: DataFrame) -> DataFrame:
-    """``asked`` with ``before``: documents that ask for the same target and level in rows ahead of each, in buckets so that no target is one task's."""
-    cut = asked.withColumn("b", F.pmod(F.xxhash64("g"), F.lit(BUCKETS)).cast("int"))
-    ahead = Window.partitionBy("target", "level").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = cut.groupBy("target", "level", "b").agg(F.sum("c").alias("n"))
-    bases = sums.select("target", "level", "b", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
-    own = Window.partitionBy("target", "level", "b").orderBy("g", "shard").rowsBetween(Window.unboundedPreceding, 0)
-    return cut.withColumn("run", F.sum("c").over(own)).join(bases, ["target", "level", "b"]).withColumn("before", F.col("base") + F.col("run") - F.col("c")).drop("b", "run", "base")
-
-
 def propagated(bundles: DataFrame, caps: dict[int, int], rounds: int = ROUNDS) -> DataFrame:
-    """(g, shard, c) after rounds of label propagation under the quotas ``caps``; its input is a stored table."""
+    """(g, shard, c) after rounds of label propagation under the quotas ``caps``; its input is a stored table.
+
+    A group's target is one of its own shards, so all of a round but the driver's sums is one window over the group.
+    """
     spark, held = bundles.sparkSession, bundles
+    group = Window.partitionBy("g")
     for _ in range(rounds):
         load = {r["shard"]: r["n"] for r in held.groupBy("shard").agg(F.sum("c").alias("n")).collect()}
         room = {s: cap - load.get(s, 0) for s, cap in caps.items()}
-        free = [s for s, x in room.items() if x > 0]
+        # with less than a twentieth left a shard counts as full, so that no group waits for its last places; ballast fills them
+        free = [s for s, x in room.items() if x > caps[s] // 20]
         if not free:
             break
-        best = held.filter(F.col("shard").isin(free)).groupBy("g").agg(F.max(F.struct(F.col("c"), F.xxhash64("g", "shard").alias("x"), F.col("shard"))).alias("m")).select("g", F.col("m.shard").alias("target"), F.col("m.c").alias("most"))
-        asked = held.join(best, "g", "left").withColumn("level", F.floor(F.log2(F.col("most"))).cast("int"))
+        best = F.max(F.when(F.col("shard").isin(free), F.struct(F.col("c"), F.xxhash64("g", "shard").alias("x"), F.col("shard")))).over(group)
+        asked = held.withColumn("best", best).withColumn("target", F.col("best.shard")).withColumn("level", F.floor(F.log2(F.col("best.c"))).cast("int")).drop("best")
+        asked = asked.withColumn("bucket", F.pmod(F.xxhash64("g", "shard", F.lit(2)), F.lit(BUCKETS)).cast("int"))
         wants = F.col("target").isNotNull() & (F.col("shard") != F.col("target"))
-        demand = [(r["target"], r["level"], r["n"]) for r in asked.filter(wants).groupBy("target", "level").agg(F.sum("c").alias("n")).collect()]
-        if not demand:
+        sums = asked.filter(wants).groupBy("target", "level", "bucket").agg(F.sum("c").alias("n")).collect()
+        grants = _granted([(r["target"], r["level"], r["bucket"], r["n"]) for r in sums], room)
+        if not sum(g[3] for g in grants):
             break
-        quota = spark.createDataFrame(_granted(demand, room), "target int, level int, part long, whole long")  # 40 x 64 rows at most
-        rows = _running(asked.filter(wants)).join(F.broadcast(quota), ["target", "level"])
-        upto = lambda x: F.floor(x * (F.col("part") / F.col("whole")))
-        moved = rows.select("g", "shard", "target", "c", (upto(F.col("before") + F.col("c")) - upto(F.col("before"))).cast("long").alias("go"))
-        stay = asked.filter(~F.coalesce(wants, F.lit(False))).select("g", "shard", "c")
-        now = stay.union(moved.select("g", "shard", (F.col("c") - F.col("go")).alias("c"))).union(moved.select("g", F.col("target").alias("shard"), F.col("go").alias("c")))
-        now = stored(now.groupBy("g", "shard").agg(F.sum("c").alias("c")).filter("c > 0"), "bundles")
-        settled = sum(p for _, _, p, _ in _granted(demand, room)) == 0
+        quota = spark.createDataFrame(grants, "target int, level int, bucket int, part long, whole long")  # SHARDS x 64 x BUCKETS rows at most
+        told = asked.join(F.broadcast(quota), ["target", "level", "bucket"], "left")
+        go = F.when(wants, F.floor(F.col("c") * F.col("part") / F.col("whole")).cast("long")).otherwise(F.lit(0).cast("long"))
+        moved = told.withColumn("go", F.coalesce(go, F.lit(0).cast("long")))
+        come = F.when(F.col("shard") == F.col("target"), F.sum("go").over(group)).otherwise(F.lit(0).cast("long"))
+        now = stored(moved.select("g", "shard", (F.col("c") - F.col("go") + come).alias("c")).filter("c > 0"), "bundles")
         drop_stored(held)
         held = now
-        if settled:
-            break
     return held
 
 
