@@ -298,7 +298,7 @@ def test_shards_keep_groups_and_cut_giants(spark):
     for d, s in zip(got.doc_id, got["shard"]):
         spread[text[d]].add(s)
     small = [len(v) for k, v in spread.items() if k.startswith("group")]
-    assert sum(n == 1 for n in small) >= 20 and max(small) <= 3
+    assert sum(n == 1 for n in small) >= 27 and max(small) <= 3
     first = Counter(got[got.doc_id.between(1000, 1099)]["shard"]).most_common(1)[0][1]
     assert first >= 25  # one shard is nearly the giant's alone
 
