@@ -7,8 +7,8 @@ nothing is shuffled but results, and equal vectors, however many, spread over se
 
 Descent: a query goes down each tree with its own string and with those of the next best cells, and
 finds how many strings of the segment share a prefix of each length with one of them.
-Ascent: all trees go up together, a symbol at a time, until enough strings share a prefix
-of that length; every one of those is then a candidate, without a cap. A segment with too few at any
+Ascent: all trees go up together, a symbol at a time, until strings of enough distinct ids besides the query's own share
+a prefix of that length; every one of those is then a candidate, without a cap. A segment with too few at any
 length gives all its rows. Candidates get exact distances, and the best of all segments are merged.
 
 Queries are served in blocks of bounded size, each broadcast to all segments.
@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 from terrafold.llm.common import stored
 
 TREES, SYMBOLS, PROBES, SEED = 64, 4, 24, 7
-#: Matches (over all trees and probes) at which the ascent ends; rows of a segment; queries of a block.
+#: Distinct ids besides the query's own at which the ascent ends; rows of a segment; queries of a block.
 ENOUGH, SEGMENT, BLOCK = 256, 8192, 4096
 #: Best coordinates of each of the first two symbols whose pairs are probed, and distances computed at a time.
 NEXT, STEP = 8, 200_000
+#: Queries and matches that are looked at together.
+ROWS, MATCHES = 256, 4_000_000
 BITS = 8
 
 
@@ -87,6 +89,8 @@ class Forest:
 
     def __init__(self, ids: np.ndarray, v: np.ndarray, rot: np.ndarray) -> None:
         self.ids, self.v, self.symbols = ids, v, rot.shape[1]
+        self.distinct, self.id_at = np.unique(ids, return_inverse=True)
+        self.id_count = len(self.distinct)
         codes = strings(v, rot)
         self.order = np.argsort(codes, axis=0, kind="stable")
         self.codes = np.take_along_axis(codes, self.order, axis=0)
@@ -109,27 +113,39 @@ class Forest:
         hi[again] = lo[again]
         return lo, hi
 
-    def candidates(self, asked: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, row) pairs, each once."""
+    def candidates(self, q_ids: np.ndarray, asked: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) pairs, each once; each query has ``enough`` ids besides its own, or all rows."""
         todo, out = np.arange(len(asked)), []
         for depth in range(self.symbols, 0, -1):
             if not len(todo):
                 break
             lo, hi = self.ranges(asked[todo], depth)
-            full = (hi - lo).sum(axis=(1, 2)) >= enough
-            q, t, p = np.nonzero((hi - lo)[full])
-            first, size = lo[full][q, t, p], (hi - lo)[full][q, t, p]
-            at = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(size) else np.empty(0, np.int64)
-            rows = self.order[at, np.repeat(t, size)]
-            out.append(np.unique(np.repeat(todo[full][q], size) * len(self.ids) + rows))
-            todo = todo[~full]
+            total = (hi - lo).sum(axis=(1, 2))
+            done = np.zeros(len(todo), bool)
+            maybe = np.flatnonzero(total >= enough)
+            for part in np.array_split(maybe, max(1, -(-len(maybe) // ROWS), -(-int(total[maybe].sum()) // MATCHES))):
+                q, t, p = np.nonzero((hi - lo)[part])
+                first, size = lo[part][q, t, p], (hi - lo)[part][q, t, p]
+                at = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(size) else np.empty(0, np.int64)
+                seen = np.zeros((len(part), len(self.ids)), bool)
+                seen[np.repeat(q, size), self.order[at, np.repeat(t, size)]] = True
+                ask, row = np.nonzero(seen)
+                # an id that comes twice counts once, and the query's own not at all
+                once = np.zeros((len(part), self.id_count), bool)
+                once[ask, self.id_at[row]] = True
+                own = np.minimum(np.searchsorted(self.distinct, q_ids[todo[part]]), self.id_count - 1)
+                once[np.arange(len(part)), own] &= self.distinct[own] != q_ids[todo[part]]
+                full = once.sum(axis=1) >= enough
+                done[part] = full
+                out.append(todo[part][ask[full[ask]]] * len(self.ids) + row[full[ask]])
+            todo = todo[~done]
         out.append((todo[:, None] * len(self.ids) + np.arange(len(self.ids))[None]).ravel())
         pairs = np.concatenate(out)
         return pairs // len(self.ids), pairs % len(self.ids)
 
     def nearest(self, q_ids: np.ndarray, q: np.ndarray, asked: np.ndarray, k: int, enough: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """query ids, row ids and distances of the k nearest candidates of each query but itself."""
-        qi, ri = self.candidates(asked, enough)
+        qi, ri = self.candidates(q_ids, asked, max(k, enough))
         other = q_ids[qi] != self.ids[ri]
         qi, ri = qi[other], ri[other]
         d = np.concatenate([np.sqrt(((q[qi[i : i + STEP]] - self.v[ri[i : i + STEP]]) ** 2).sum(axis=1)) for i in range(0, len(qi), STEP)] or [np.empty(0)])

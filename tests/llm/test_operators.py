@@ -362,6 +362,20 @@ def test_neighbours(spark):
     assert few.count() == 12
 
 
+def test_neighbours_beside_a_few_equal_vectors():
+    rng = np.random.default_rng(4)
+    for copies in (3, 5, 8, 9):
+        v = rng.normal(size=(2000, 32))
+        v[1 : 1 + copies] = v[0]
+        ids, rot = np.arange(2000), ann.rotations(32)
+        d = np.sqrt(((v - v[0]) ** 2).sum(axis=1))
+        d[0] = np.inf
+        want = np.lexsort((ids, d))[:10]
+        _, got, _ = ann.Forest(ids, v, rot).nearest(ids[:1], v[:1], ann.probes(v[:1], rot), 10, ann.ENOUGH)
+        assert len(got) == 10 and got[:copies].tolist() == list(range(1, 1 + copies)) and len(set(got) & set(want)) >= 9
+
+
+
 # 6 toxicity ---------------------------------------------------------------------
 
 
