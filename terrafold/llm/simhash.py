@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrafold.llm import jaccard
 from terrafold.llm.common import free_name, stored
 from terrafold.operators.components import connected
 
@@ -123,12 +124,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest doc_id (null ids last; ties by a hash of the row)."""
+def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = jaccard.WORDS) -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest doc_id (null ids last; ties by a hash of the row).
+
+    Texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more, by an exact comparison
+    (:mod:`terrafold.llm.jaccard`); the three words and two bits above are those of the query op4 alone.
+    """
     key = free_name(docs, "row_key")
     src = docs.withColumn(key, F.struct(F.col(f"`{doc_id}`").isNull().alias("none"), F.col(f"`{doc_id}`").alias("id"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("h")))
-    fps = stored(fingerprints(src, text, (key,), shingle).toDF("row_key", "fp"), "simhash")
-    best = fps.groupBy("fp").agg(F.min("row_key").alias("row_key")).join(_grouped(fps), "fp").groupBy("component").agg(F.min("row_key").alias(key)).select(key)
+    rows, comp = jaccard.components(src.select(F.col(key).alias("k"), F.col(f"`{text}`").alias("t")), words)
+    firsts = rows.groupBy("sid").agg(F.min("k").alias("k")).join(comp, "sid", "left")
+    best = firsts.groupBy(F.coalesce("component", "sid").alias("component")).agg(F.min("k").alias(key)).select(key)
     one = Window.partitionBy(key).orderBy(F.lit(0))
     nth = free_name(docs, "row_nth")
     kept = src.join(best, key, "left_semi").withColumn(nth, F.row_number().over(one)).filter(F.col(nth) == 1)
