@@ -2,23 +2,24 @@
 
 A source of weight w owes its j-th block (j from 0) a slot in the window [floor(j / w), ceil((j + 1) / w)).
 Serving, in each slot, the released block with the earliest deadline keeps every source within
-less than one block of w * t at every time t. With weights rounded to shares of a fixed period the
-schedule repeats, so only one period is simulated; the block j of a source with k slots a period
-stands in slot ``(j // k) * period + slots[j % k]``. The simulated table has ``period`` rows whatever
-the size of the corpus; all that grows with the documents is done by Spark.
+less than one block of w * t at every time t. The weights are exact fractions and the schedule runs over
+the whole stream, so nothing is rounded and nothing adds up. It has one row for each block, which one task writes
+as it goes, with a block of each source in memory; the documents are joined with it by source and block.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import exact_rank, free_name, shuffle_width
+from terrafold.llm.common import exact_rank, free_name, shuffle_width, stored
 
-#: Slots of one period (more if there are more than a quarter as many sources), and documents in a block.
+#: Slots that are written at a time (of a schedule of its own: slots of one period), and documents in a block.
 PERIOD, BLOCK = 1000, 8
 #: Target weights, if none are given: sizes of sources to this power, in proportion.
 TEMPERATURE = 0.8
@@ -67,6 +68,48 @@ def schedule(slots: dict[str | None, int]) -> list[str | None]:
     return out
 
 
+def whole_weights(weights: list[float]) -> list[int]:
+    """Integers in exactly the proportion of ``weights``."""
+    exact = [Fraction(w) for w in weights]
+    scale = max((w.denominator for w in exact), default=1)  # powers of two
+    return [int(w * scale) for w in exact]
+
+
+def stream(weights: list[int], need: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(source, block, slot) by earliest deadline among released blocks, until each source has had ``need`` blocks."""
+    total, short, t = sum(weights), sum(n > 0 for n in need), 0
+    waiting = [(0, i, 0) for i in range(len(weights))]
+    ready: list[tuple[int, int, int]] = []
+    while short:
+        while waiting and waiting[0][0] <= t:
+            _, i, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * total // weights[i]), i, j))
+        deadline, i, j = heapq.heappop(ready)
+        if deadline <= t:
+            raise AssertionError("a block missed its deadline")
+        yield i, j, t
+        short -= j + 1 == need[i]
+        heapq.heappush(waiting, ((j + 1) * total // weights[i], i, j + 1))
+        t += 1
+
+
+def _plan(spark: SparkSession, weights: list[int], need: list[int], rows: int) -> DataFrame:
+    """i_, j_, t_: the stream's blocks as a stored table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            held = []
+            for x in stream(weights, need):
+                held.append(x)
+                if len(held) == rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held)], names=["i_", "j_", "t_"])
+                    held = []
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held)], names=["i_", "j_", "t_"])
+
+    return stored(spark.range(0, 1, 1, 1).mapInArrow(run, "i_ long, j_ long, t_ long"), "mix")
+
+
 def lag(order: list[str | None], slots: dict[str | None, int]) -> Fraction:
     """The largest deviation, in blocks, of any source from its weight over all times of a period."""
     period, worst, served = len(order), Fraction(0), dict.fromkeys(slots, 0)
@@ -88,7 +131,7 @@ def tempered(sizes: dict[str | None, int], power: float = TEMPERATURE) -> dict[s
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source", doc_id: str = "doc_id", block: int = BLOCK, period: int = PERIOD, repeat: bool = True) -> DataFrame:
-    """``docs`` with ``mix_position`` (its place in the mixed stream), ``mix_slot``, ``mix_epoch`` and ``mix_target`` (the share).
+    """``docs`` with ``mix_position`` (its place in the mixed stream), ``mix_slot``, ``mix_epoch`` and ``mix_target`` (the weight as a share).
 
     Documents of a source follow a hash of their id; ``block`` of them fill one slot. Every row comes
     at least once. With ``repeat``, the stream lasts until the source that is longest for its weight
@@ -110,33 +153,24 @@ def _mixed(docs: DataFrame, weights: dict[str | None, float] | None, source: str
     spark = docs.sparkSession
     sizes = _sizes(docs, source)
     weights = weights if weights is not None else tempered(sizes)
-    slots = shares({s: w for s, w in weights.items() if sizes.get(s)}, period)
+    live = sorted((s for s, w in weights.items() if w > 0 and sizes.get(s)), key=lambda s: (s is None, s or ""))
     names = docs.columns
     rank, key = free_name(docs, "mix_rank"), free_name(docs, "mix_key")
     if not sizes:
         return docs.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("mix_position", "long"), ("mix_slot", "long"), ("mix_epoch", "long"), ("mix_target", "double"))))
-    order = schedule(slots) if slots else []
-    length = len(order)
-    # blocks until the last source is used up, in whole slots of its own
-    need = {s: -(-sizes[s] // block) for s in slots}
-    place: dict[str | None, list[int]] = {s: [] for s in slots}
-    for t, s in enumerate(order):
-        place[s].append(t)
-    slot_of = lambda s, j: (j // slots[s]) * length + place[s][j % slots[s]]
-    end = max((slot_of(s, need[s] - 1) + 1 for s in slots), default=0)
-
-    def owed(s: str | None) -> int:
-        """Blocks of a source that start before ``end``."""
-        whole, part = divmod(end, length)
-        return whole * slots[s] + sum(t < part for t in place[s])
-
-    # one row for each source and slot of the period: `period` rows, however large the corpus is
-    rows = [(s, r, t, slots[s], sizes[s], owed(s) if repeat else need[s], slots[s] / length) for s in slots for r, t in enumerate(place[s])]
-    plan = spark.createDataFrame(rows, "s string, r int, t int, k int, n long, owed long, share double")
-    # sources without a weight follow the stream one after the other
-    first = {s: end * block + sum(sizes[x] for x in after[:i]) for after in [sorted((s for s in sizes if s not in slots), key=lambda s: (s is None, s or ""))] for i, s in enumerate(after)}
-    tail = spark.createDataFrame([(s, at) for s, at in first.items()], "s string, at long")
-    head = plan.filter("r = 0").select("s", "k", "n", "owed", "share", F.lit(0).cast("long").alias("at")).union(tail.selectExpr("s", "CAST(NULL AS INT)", "1L", "0L", "0D", "at"))  # a row for each source
+    # blocks until the last source is used up
+    need = [-(-sizes[s] // block) for s in live]
+    whole = whole_weights([weights[s] for s in live])
+    plan = _plan(spark, whole, need, period)
+    served = {r["i_"]: (r["n"], r["t"]) for r in plan.groupBy("i_").agg(F.count(F.lit(1)).alias("n"), F.max("t_").alias("t")).collect()}
+    end = max((t + 1 for _, t in served.values()), default=0)
+    # a row for each source; those without a weight follow the stream one after the other
+    rows = [(s, i, sizes[s], served[i][0] if repeat else need[i], float(Fraction(whole[i], sum(whole))), 0) for i, s in enumerate(live)]
+    at = end * block
+    for s in sorted((s for s in sizes if s not in live), key=lambda s: (s is None, s or "")):
+        rows.append((s, None, 1, 0, 0.0, at))
+        at += sizes[s]
+    head = spark.createDataFrame(rows, "s string, i long, n long, owed long, share double, at long")
 
     total = sum(sizes.values())
     mark = docs.withColumn(key, F.xxhash64(F.col(f"`{doc_id}`")))
@@ -145,15 +179,13 @@ def _mixed(docs: DataFrame, weights: dict[str | None, float] | None, source: str
     a = ranked.join(F.broadcast(head), src.eqNullSafe(head["s"]), "left").drop("s")
     again = F.ceil((F.col("owed") * block - F.col(rank)) / F.col("n")) - 1
     last = F.greatest(F.lit(0), again).cast("long") if repeat else F.lit(0).cast("long")
-    copies = F.when(F.col("k").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), last))
+    copies = F.when(F.col("i").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), last))
     a = a.withColumn("mix_epoch", F.explode(copies))
     nth = F.col("mix_epoch") * F.col("n") + F.col(rank)
     j = F.floor(nth / block)
-    a = a.withColumn("j_", j).withColumn("in_", nth % block).withColumn("r_", (F.col("j_") % F.col("k")).cast("int"))
-    cell = plan.select(F.col("s").alias("s_"), F.col("r").alias("pr_"), "t")
-    b = a.join(F.broadcast(cell), src.eqNullSafe(cell["s_"]) & (a["r_"] == cell["pr_"]), "left")
-    served = F.col("k").isNotNull()
-    place_ = F.when(served, (F.floor(F.col("j_") / F.col("k")) * length + F.col("t")) * block + F.col("in_")).otherwise(F.col("at") + F.col(rank))
+    a = a.withColumn("b_", j).withColumn("in_", nth % block)
+    b = a.join(plan, (a["i"] == plan["i_"]) & (a["b_"] == plan["j_"]), "left")
+    place_ = F.when(F.col("i").isNotNull(), F.col("t_") * block + F.col("in_")).otherwise(F.col("at") + F.col(rank))
     return b.select(
         *(F.col(f"`{c}`") for c in names),
         place_.cast("long").alias("mix_position"),
@@ -172,4 +204,4 @@ def mixed_table(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     return ordered.select(*(F.col(f"`{c}`") for c in names))
 
 
-__all__ = ["lag", "mixed", "mixed_table", "schedule", "shares", "tempered"]
+__all__ = ["lag", "mixed", "mixed_table", "schedule", "shares", "stream", "tempered", "whole_weights"]

@@ -330,6 +330,30 @@ def test_mixture(spark):
     assert mixing.mixed(df.filter("false")).count() == 0
 
 
+def test_stream_stays_within_a_block_of_the_weights():
+    sizes = {f"s{i}": 3000 + 137 * i for i in range(19)} | {"hot": 60_000, "tiny": 2}
+    names, weights = zip(*mixing.tempered(sizes).items())
+    whole, total = mixing.whole_weights(list(weights)), sum(weights)
+    assert all(abs(a / sum(whole) - w / total) < 1e-15 for a, w in zip(whole, weights))
+    served, worst = np.zeros(len(names)), 0.0
+    for i, j, t in mixing.stream(whole, [-(-sizes[s] // 8) for s in names]):
+        assert j == served[i]
+        served[i] += 1
+        worst = max(worst, np.abs(served - np.array(weights) / total * (t + 1)).max())
+    assert worst < 1 + 1e-9 and all(8 * n >= sizes[s] for n, s in zip(served, names))
+
+
+def test_mixture_keeps_small_and_uneven_weights(spark):
+    df = spark.range(9000).selectExpr("id AS doc_id", "CASE WHEN id < 3 THEN 'tiny' WHEN id % 3 = 0 THEN 'hot' ELSE concat('s', id % 7) END AS source")
+    want = mixing.tempered({r[0]: r[1] for r in df.groupBy("source").count().collect()})
+    out = mixing.mixed(df, block=2).toPandas()
+    got = out.groupby("source").mix_target.first()
+    assert all(abs(got[s] - w) < 1e-12 for s, w in want.items()) and set(out.doc_id) == set(range(9000))
+    ends = out.groupby("mix_slot").source.first().sort_index()
+    assert ends.index.tolist() == list(range(len(ends)))
+    assert all(((ends == s).cumsum().to_numpy() - w * np.arange(1, len(ends) + 1)).__abs__().max() < 1 + 1e-9 for s, w in want.items())
+
+
 def test_mixed_table(docs):
     out = mixing.mixed_table(docs)
     assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in docs.collect()}
