@@ -2,8 +2,8 @@
 
 Documents with equal texts are linked. They start on the shard that a hash of their id names; in each
 round a document looks at the shards of those it is linked with and asks to move to the one that
-most of them are on. A shard grants moves, largest group first and bucket by bucket, only while it has room, so no quota
-is ever exceeded. Documents without links are ballast: they fill what is left, and all shards end
+most of them are on (a group larger than a shard for several). A shard grants moves, largest group first, while it has room
+or others leave it, so no quota is ever exceeded and full shards swap; rounds end when no move is granted. Documents without links are ballast: they fill what is left, and all shards end
 with row counts that differ by one at most, however large a group is.
 
 Equal documents of a group on one shard are interchangeable, so a round works on (group, shard,
@@ -13,56 +13,105 @@ sees in a round is a sum for each shard and level of demand.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.llm.common import drop_stored, exact_rank, stored
 
-SHARDS, ROUNDS, BUCKETS, LAW = 40, 6, 64, "rows"
+SHARDS, LAW = 40, "rows"
 
 
-def _granted(demand: list[tuple[int, int, int, int]], room: dict[int, int]) -> list[tuple[int, int, int, int, int]]:
-    """(target, level, bucket, part, whole): of the moves asked for, part / whole fit; high levels first, bucket by bucket."""
-    out = []
-    left = dict(room)
-    for target, level, bucket, asked in sorted(demand, key=lambda d: (d[0], -d[1], d[2])):
-        fit = min(asked, max(0, left[target]))
-        left[target] -= fit
-        out.append((target, level, bucket, fit, asked))
-    return out
+def _granted(demand: list[tuple[int, int, int, int]], room: dict[int, int], swap: bool = True) -> dict[tuple[int, int], int]:
+    """Moves granted from shard to target, of ``demand`` (shard, target, level, rows); no shard ends with more than its room.
 
-
-def propagated(bundles: DataFrame, caps: dict[int, int], rounds: int = ROUNDS) -> DataFrame:
-    """(g, shard, c) after rounds of label propagation under the quotas ``caps``; its input is a stored table.
-
-    A group's target is one of its own shards, so all of a round but the driver's sums is one window over the group.
+    All moves are granted at first, so a shard has the room that its departures free, and full shards swap. A shard with too
+    many arrivals then refuses some, low levels first; what stays where it was can fill other shards, so that is repeated.
+    Without ``swap`` departures don't count.
+    """
+    ids = sorted(room)
+    at, levels = {s: i for i, s in enumerate(ids)}, sorted({d[2] for d in demand})
+    flow = np.zeros((len(levels), len(ids), len(ids)), np.int64)
+    for shard, target, level, n in demand:
+        flow[levels.index(level), at[shard], at[target]] += n
+    free = np.array([room[s] for s in ids], np.int64)
+    while True:
+        over = flow.sum(axis=(0, 1)) - flow.sum(axis=(0, 2)) * swap - free
+        if (over <= 0).all() or not flow.any():
+            break
+        for t in np.flatnonzero(over > 0):
+            cut = int(over[t])
+            for part in flow[:, :, t]:
+                less = min(cut, int(part.sum()))
+                if less:
+                    upto = np.cumsum(part)  # in proportion, to the row
+                    part -= np.diff(upto * less // upto[-1], prepend=0)
+                    cut -= less
+    total = flow.sum(axis=0)
+    return {(ids[s], ids[t]): int(total[s, t]) for s, t in zip(*np.nonzero(total))}
+
+
+def propagated(bundles: DataFrame, caps: dict[int, int]) -> DataFrame:
+    """(g, shard, c) after label propagation under the quotas ``caps``, until no move is granted; its input is a stored table.
+
+    A group asks for the shards that hold most of it, as many as it needs at least. Rows go only where as many of their group
+    are or more, or all rows of a shard go, so a move lessens the shards of a group or makes its counts less even, and the rounds end.
     """
-    spark, held = bundles.sparkSession, bundles
-    group = Window.partitionBy("g")
-    for _ in range(rounds):
+    spark, held, blocked = bundles.sparkSession, bundles, []
+    closing = False  # a round in which rows of a shard go together or not at all, into room that is there
+    group, most = Window.partitionBy("g"), max(caps.values())
+    giants = {bytes(r["g"]): -(-r["n"] // most) for r in held.groupBy("g").agg(F.sum("c").alias("n")).filter(F.col("n") > most).collect()}  # fewer than SHARDS
+    while True:
         load = {r["shard"]: r["n"] for r in held.groupBy("shard").agg(F.sum("c").alias("n")).collect()}
         room = {s: cap - load.get(s, 0) for s, cap in caps.items()}
-        # with less than a twentieth left a shard counts as full, so that no group waits for its last places; ballast fills them
-        free = [s for s, x in room.items() if x > caps[s] // 20]
-        if not free:
-            break
-        best = F.max(F.when(F.col("shard").isin(free), F.struct(F.col("c"), F.xxhash64("g", "shard").alias("x"), F.col("shard")))).over(group)
-        asked = held.withColumn("best", best).withColumn("target", F.col("best.shard")).withColumn("level", F.floor(F.log2(F.col("best.c"))).cast("int")).drop("best")
-        asked = asked.withColumn("bucket", F.pmod(F.xxhash64("g", "shard", F.lit(2)), F.lit(BUCKETS)).cast("int"))
-        wants = F.col("target").isNotNull() & (F.col("shard") != F.col("target"))
-        sums = asked.filter(wants).groupBy("target", "level", "bucket").agg(F.sum("c").alias("n")).collect()
-        grants = _granted([(r["target"], r["level"], r["bucket"], r["n"]) for r in sums], room)
-        if not sum(g[3] for g in grants):
-            break
-        quota = spark.createDataFrame(grants, "target int, level int, bucket int, part long, whole long")  # SHARDS x 64 x BUCKETS rows at most
-        told = asked.join(F.broadcast(quota), ["target", "level", "bucket"], "left")
-        go = F.when(wants, F.floor(F.col("c") * F.col("part") / F.col("whole")).cast("long")).otherwise(F.lit(0).cast("long"))
-        moved = told.withColumn("go", F.coalesce(go, F.lit(0).cast("long")))
-        come = F.when(F.col("shard") == F.col("target"), F.sum("go").over(group)).otherwise(F.lit(0).cast("long"))
-        now = stored(moved.select("g", "shard", (F.col("c") - F.col("go") + come).alias("c")).filter("c > 0"), "bundles")
+        # a group larger than a shard goes on asking for the same ones; others ask for them last, and not where they were refused
+        taken, parts = set(), {}
+        if giants:
+            for r in held.filter(F.col("g").isin(list(giants))).select("g", "shard", "c", F.xxhash64("g", "shard").alias("x")).collect():
+                parts.setdefault(bytes(r["g"]), []).append((-r["c"], r["x"], r["shard"]))
+            taken = {s for g, p in parts.items() for _, _, s in sorted(p)[: giants[g]]}
+        if closing:
+            blocked = [s for s, x in room.items() if x <= 0]
+        order = F.when(F.col("shard").isin(blocked), 2).when(F.col("shard").isin(list(taken)), 1).otherwise(0)
+        shut = F.when(F.col("need") == 1, order).otherwise(F.lit(0))
+        entry = F.struct(shut.alias("shut"), (-F.col("c")).alias("o"), F.xxhash64("g", "shard").alias("x"), F.col("shard").alias("s"))
+        all_ = held.withColumn("need", F.ceil(F.sum("c").over(group) / F.lit(most)).cast("int")).withColumn("all", F.sort_array(F.collect_list(entry).over(group)))
+        # the group's targets, and which of them takes the rows of this shard
+        asked = all_.withColumn("own", F.array_position(F.transform("all", lambda x: x["s"]), F.col("shard")).cast("int") - 1)
+        # the least full target takes the largest part
+        pick = F.col("all")[F.when(F.col("own") < F.col("need"), F.col("own")).otherwise(F.col("need") - 1 - F.col("own") % F.col("need"))]
+        asked = asked.withColumn("to", pick).withColumn("target", F.col("to.s")).withColumn("level", F.floor(F.log2(-F.col("to.o"))).cast("int"))
+        wants = (F.col("shard") != F.col("target")) & (F.col("to.shut") < 2) & (F.lit(closing) | (F.col("c") <= -F.col("to.o")))
+        asked = stored(asked.withColumn("target", F.when(wants, F.col("target"))).select("g", "shard", "c", "target", "level"), "asked")
+        sums = asked.filter("target IS NOT NULL").groupBy("shard", "target", "level").agg(F.sum("c").alias("n")).collect()  # SHARDS x SHARDS x 64 at most
+        grants = _granted([tuple(r) for r in sums], room, not closing)
+        if not grants:
+            drop_stored(asked)
+            if closing:
+                return held
+            closing, blocked = not blocked, []
+            continue
+        told = asked.filter("target IS NOT NULL").join(F.broadcast(spark.createDataFrame([(s, t, n) for (s, t), n in grants.items()], "shard int, target int, quota long")), ["shard", "target"])
+        # largest groups first; the last one that a quota reaches gets what is left of it
+        before = Window.partitionBy("shard", "target").orderBy(F.desc("level"), F.xxhash64("g"), "g").rowsBetween(Window.unboundedPreceding, -1)
+        go = F.least(F.col("c"), F.col("quota") - F.coalesce(F.sum("c").over(before), F.lit(0)))
+        moves = stored(told.withColumn("go", go).filter("go = c" if closing else "go > 0"), "moves")
+        if closing and moves.isEmpty():
+            return held
+        parts = asked.select("g", "shard", "c").union(moves.select("g", "shard", -F.col("go"))).union(moves.select("g", "target", "go"))
+        now = stored(parts.groupBy("g", "shard").agg(F.sum("c").alias("c")).filter("c > 0"), "bundles")
+        refused = {t: 0 for t in caps}
+        for s, t, _, n in sums:
+            refused[t] += n
+        for (_, t), n in grants.items():
+            refused[t] -= n
+        # groups look elsewhere in the next round where they have been refused
+        blocked = [t for t, n in refused.items() if n > 0]
         drop_stored(held)
+        drop_stored(asked)
+        drop_stored(moves)
+        closing = False
         held = now
-    return held
 
 
 def _pick(ranges: Column, rank: Column) -> Column:

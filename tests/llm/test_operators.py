@@ -303,6 +303,17 @@ def test_shards_keep_groups_and_cut_giants(spark):
     assert first >= 25  # one shard is nearly the giant's alone
 
 
+@pytest.mark.parametrize(("copied", "giant", "whole"), [(38600, 0, 0.85), (36000, 0, 0.95), (10000, 13333, 0.95)])
+def test_shards_gather_groups_where_they_are_full(spark, copied, giant, whole):
+    docs = spark.range(40000).selectExpr("id AS doc_id", f"CASE WHEN id < {copied} THEN concat('group ', id div 10) WHEN id < {copied + giant} THEN 'giant' ELSE concat('alone ', id) END AS text")
+    got = sharding.shards(docs).join(docs, "doc_id").toPandas()
+    assert set(got["shard"].value_counts()) == {1000}
+    spread = got.groupby("text")["shard"].nunique()
+    small = spread[spread.index.str.startswith("group")]
+    assert (small == 1).mean() >= whole
+    assert not giant or spread["giant"] <= 16
+
+
 # 10 mixing ----------------------------------------------------------------------
 
 
