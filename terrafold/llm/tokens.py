@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -28,8 +29,12 @@ from terrafold.llm.common import new_path, shuffle_width
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 ROW_GROUP, PAGE = 16 << 20, 256 << 10
-#: Distinct words whose ids a worker remembers; the memory is bounded, the results don't depend on it.
-CACHE_WORDS = 1_000_000
+#: Words, and letters in them, that a worker remembers before it keeps those of its last texts only (about 20 MB).
+CACHE_WORDS, CACHE_LETTERS = 80_000, 1_000_000
+#: Longer words are never remembered.
+LONG_WORD = 64
+#: Texts and characters that are encoded together.
+TEXTS, CHARS = 256, 1 << 20
 #: Texts of these characters alone are split into words here; all others go to the library whole.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\u024f]")
 #: The vocabulary's splitter for those characters. Its branches begin with different characters, so the most frequent comes first.
@@ -50,15 +55,34 @@ class _Words(dict[str, bytes]):
     def __init__(self, model, letters: list[str]) -> None:  # noqa: ANN001
         self.tokenize = model.tokenize
         self.letters = {i: c for i, c in enumerate(letters) if chr(i) != c}
+        self.held = 0
 
     def __missing__(self, word: str) -> bytes:
         shown = word.encode().decode("latin-1").translate(self.letters)
-        out = self[word] = array("i", [t.id for t in self.tokenize(shown)]).tobytes()
+        out = array("i", [t.id for t in self.tokenize(shown)]).tobytes()
+        if len(word) <= LONG_WORD:
+            self[word] = out
+            self.held += len(word)
         return out
 
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
+    def full(self) -> bool:
+        return len(self) > CACHE_WORDS or self.held > CACHE_LETTERS
+
+    def keep(self, recent: set[str]) -> None:
+        """Only ``recent`` words stay, or none if they are many themselves."""
+        left = {w: self[w] for w in recent if len(w) <= LONG_WORD}
+        self.forget()
+        if len(left) <= CACHE_WORDS // 2:
+            self.update(left)
+            self.held = sum(map(len, left))
+
 
 class WordEncoder:
-    """The library's ids of whole texts, with the ids of each distinct word asked for once.
+    """The library's ids of whole texts, with the ids of a frequent word asked for once.
 
     The vocabulary's splitter cuts a text into words that never merge across their borders, so
     ids of words in turn are the ids of the text. Special tokens' strings, and characters on which
@@ -72,13 +96,18 @@ class WordEncoder:
         self.words = _Words(self.tokenizer.model, byte_letters())
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def packed(self, text: str) -> bytes:
-        """Ids of one text as 32-bit integers."""
-        if _PLAIN.search(text) or any(s in text for s in self.special):
-            return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        return b"".join(map(self.words.__getitem__, _SPLIT.findall(text)))
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as 32-bit integers."""
+        get, out, recent = self.words.__getitem__, [], []
+        for text in texts:
+            if _PLAIN.search(text) or any(s in text for s in self.special):
+                out.append(array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
+            else:
+                recent.append(cut := _SPLIT.findall(text))
+                out.append(b"".join(map(get, cut)))
+        if self.words.full():
+            self.words.keep(set().union(*recent))
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -90,7 +119,18 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def write_tokens(docs: DataFrame, target: str, text: str = "text", doc_id: str = "doc_id", vocabulary: str | None = None, end_id: int = END_ID, files: int | None = None) -> None:
+def _pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of TEXTS rows and about CHARS bytes of text at most (one text at least)."""
+    size = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).cumsum()
+    at = 0
+    while at < b.num_rows:
+        upto = int(np.searchsorted(size, (size[at - 1] if at else 0) + CHARS, "right"))
+        n = max(1, min(upto - at, TEXTS))
+        yield b.slice(at, n)
+        at += n
+
+
+def write_tokens(docs: DataFrame, target: str, text: str = "text", doc_id: str = "doc_id", vocabulary: str | None = None, end_id: int = END_ID, files: int | None = None, row_group: int = ROW_GROUP) -> None:
     """Writes the ids of every whole text, ``end_id`` appended, to ``target`` in the file format above."""
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     src = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("t"))
@@ -101,18 +141,18 @@ def write_tokens(docs: DataFrame, target: str, text: str = "text", doc_id: str =
 
         part, at, enc, end = TaskContext.get().partitionId(), 0, encoder(path), array("i", [end_id]).tobytes()
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                piece = b.slice(lo, 256)
-                ids = [enc.packed(t or "") + end for t in piece.column(1).to_pylist()]
+            for piece in _pieces(b):
+                ids = [x + end for x in enc.packed([t or "" for t in piece.column(1).to_pylist()])]
                 n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
                 ends = np.cumsum(n)
                 flat = np.frombuffer(b"".join(ids), np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(at + ends - n), pa.array(n), lists], names=["doc_id", "part", "local_start", "n_tokens", "tokens"])
                 at += int(ends[-1])
+        enc.words.forget()
 
     out = ranged.mapInArrow(run, "doc_id long, part int, local_start long, n_tokens long, tokens array<int>")
-    out.write.options(**WRITE_OPTIONS).parquet(target)
+    out.write.options(**WRITE_OPTIONS | {"parquet.block.size": str(row_group)}).parquet(target)
 
 
 def read_tokens(spark, target: str) -> DataFrame:  # noqa: ANN001
