@@ -11,6 +11,9 @@ from terrafold.store import delete, drop_stored, new_path, shared_dir, stored
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Buckets of an exact rank for each million rows: a group with a third of them still has short buckets.
 RANK_BUCKETS = 64
+#: Values of a folded hash (see :func:`split_by_key`).
+FOLD = 1 << 17
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,6 +36,19 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def split_by_key(df: DataFrame, some: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: rows whose ``key`` is surely not in ``some``, and the rest, which alone has to be shuffled to join ``some``.
+
+    The hashes of ``some``'s keys, folded to :data:`FOLD` values, are broadcast: so many longs at most, however large ``some`` is.
+    """
+    at, hit = free_name(df, "fold"), free_name(df, "fold_hit")
+    fold = F.pmod(F.xxhash64(F.col(key)), F.lit(FOLD))
+    marks = some.select(fold.alias(at)).distinct().withColumn(hit, F.lit(True))
+    marked = df.withColumn(at, fold).join(F.broadcast(marks), at, "left")
+    names = [F.col(f"`{c}`") for c in df.columns]
+    return marked.filter(F.col(hit).isNull()).select(*names), marked.filter(F.col(hit)).select(*names)
+
+
 def exact_rank(df: DataFrame, group: list[str], key: Column, out: str, rows: int, ties: list[Column] | None = None, extra: DataFrame | None = None) -> DataFrame:
     """Adds ``out``: the 0-based rank of each row in its ``group``, ordered by a hash bucket, ``key`` and ``ties``.
 
@@ -58,4 +74,4 @@ def exact_rank(df: DataFrame, group: list[str], key: Column, out: str, rows: int
     return joined.select(*(F.col(f"`{c}`") for c in df.columns), *more, (F.col(base) + F.col(local) - 1).cast("long").alias(out))
 
 
-__all__ = ["delete", "documents", "drop_stored", "exact_rank", "free_name", "new_path", "shared_dir", "shuffle_width", "stored", "table"]
+__all__ = ["delete", "documents", "drop_stored", "exact_rank", "free_name", "new_path", "shared_dir", "shuffle_width", "split_by_key", "stored", "table"]
