@@ -2,12 +2,12 @@
 
 Blocks: 64 bits in five parts; fingerprints that differ in two bits at most agree in three parts
 or more, so each fingerprint gives one key for every three of the five parts (38 or 39 bits) and
-close ones share a key. Keys are only counted (with map-side partial sums), so a key that a third
-of the corpus shares costs one row.
+close ones share a block.
 
-Verification: of the fingerprints that share a key, each is sent to the 65 values within one bit of
-it. Two values differ in two bits or fewer exactly if they meet in one of those, so every meeting
-is a proof and no pair of the group has to be listed; a meeting place holds 65 fingerprints at most.
+Verification: the fingerprints of a block are joined with each other and the pairs' Hamming distances
+checked. A block of more than :data:`CROWD` distinct fingerprints isn't paired: there, each fingerprint is sent to the
+65 values within one bit of it. Two values differ in two bits or fewer exactly if they meet in one of those, so every
+meeting is a proof, and a meeting place holds 65 fingerprints at most.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.llm import jaccard
-from terrafold.llm.common import free_name, stored
+from terrafold.llm.common import free_name, split_by_key, stored
 from terrafold.operators.components import connected
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -32,6 +32,8 @@ PARTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 STEP = 1 << 15
 #: Fingerprints that one in so many rows has, or more, are handled apart.
 HOT = 1000
+#: Distinct fingerprints of a block that are paired; the pairs are 32 a fingerprint and block at most.
+CROWD = 64
 _UPPER = bytes(range(256)).lower()
 
 
@@ -86,13 +88,16 @@ def _ball(fp: Column) -> Column:
 
 def links(fps: DataFrame) -> DataFrame:
     """Verified links (a, b), a < b, between distinct fingerprints ``fp``: connected exactly as those within two bits are."""
-    one = fps.select("fp").distinct()
-    keyed = one.select("fp", F.explode(_block_keys(F.col("fp"))).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    near = keyed.join(shared, "key", "left_semi").select("fp").distinct()
-    met = near.select("fp", F.explode(_ball(F.col("fp"))).alias("m")).groupBy("m").agg(F.collect_set("fp").alias("fps"))
-    pairs = met.filter(F.size("fps") > 1).select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a < b").distinct()
-    return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
+    keyed = fps.select("fp").distinct().select("fp", F.explode(_block_keys(F.col("fp"))).alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = stored(keyed.join(shared, "key"), "blocks")
+    one = met.filter(F.col("n") <= CROWD)
+    a, b = one.select("key", F.col("fp").alias("a")), one.select("key", F.col("fp").alias("b"))
+    pairs = a.join(b, "key").filter("a < b").select("a", "b")
+    near = met.filter(F.col("n") > CROWD).select("fp").distinct()
+    places = near.select("fp", F.explode(_ball(F.col("fp"))).alias("m")).groupBy("m").agg(F.collect_set("fp").alias("fps"))
+    crowded = places.filter(F.size("fps") > 1).select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a < b")
+    return pairs.union(crowded).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).distinct()
 
 
 def _grouped(fps: DataFrame) -> DataFrame:
@@ -133,9 +138,17 @@ def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words
     key = free_name(docs, "row_key")
     src = docs.withColumn(key, F.struct(F.col(f"`{doc_id}`").isNull().alias("none"), F.col(f"`{doc_id}`").alias("id"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("h")))
     rows, comp = jaccard.components(src.select(F.col(key).alias("k"), F.col(f"`{text}`").alias("t")), words)
-    firsts = rows.groupBy("sid").agg(F.min("k").alias("k")).join(comp, "sid", "left")
-    best = firsts.groupBy(F.coalesce("component", "sid").alias("component")).agg(F.min("k").alias(key)).select(key)
-    one = Window.partitionBy(key).orderBy(F.lit(0))
-    nth = free_name(docs, "row_nth")
-    kept = src.join(best, key, "left_semi").withColumn(nth, F.row_number().over(one)).filter(F.col(nth) == 1)
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    # what goes: all keys of a component but its first, and repeated rows of one key but one
+    own = rows.groupBy("k").agg(F.any_value("sid").alias("sid"), F.count(F.lit(1)).alias("times"))
+    named = own.join(comp, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    firsts = named.groupBy("component").agg(F.min("k").alias("first"))
+    odd = named.join(firsts, "component").filter((F.col("k") != F.col("first")) | (F.col("times") > 1))
+    odd = stored(odd.select(F.col("k").alias(key), (F.col("k") == F.col("first")).alias("stays")), "dropped")
+    plain, rest = split_by_key(src, odd, key)
+    nth, stays = free_name(docs, "row_nth"), free_name(docs, "stays")
+    joined = rest.join(odd.withColumnRenamed("stays", stays), key, "left").filter(F.coalesce(stays, F.lit(True)))
+    # of the rest only repeated rows are numbered
+    once = joined.filter(F.col(stays).isNull())
+    many = joined.filter(F.col(stays)).withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))).filter(F.col(nth) == 1)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return plain.select(*names).unionByName(once.select(*names)).unionByName(many.select(*names))
