@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by a forest of hash-string prefixes.
 
-Every tree gives each vector a long string of symbols: the index of the largest coordinate after a
-random rotation, with its sign; vectors near each other on the sphere often agree. The rows are indexed
-where they lie, in segments of a bounded number of rows, each with a sorted array of strings for every tree;
+Every tree gives each vector a string of eight symbols (64 bits): the index of the largest coordinate after a
+random rotation, with its sign; vectors near each other on the sphere often agree. The later symbols, which only tell rows of
+crowded places apart, rotate into fewer coordinates. The rows are indexed where they lie, in segments of a bounded number of rows, each with a sorted array of strings for every tree;
 nothing is shuffled but results, and equal vectors, however many, spread over segments like any others.
 
 Descent: a query goes down each tree with its own string and with those of the next best cells, and
@@ -16,28 +16,34 @@ Queries are served in blocks of bounded size, each broadcast to all segments.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.llm.common import stored
 
-TREES, SYMBOLS, PROBES, SEED = 64, 4, 24, 7
+TREES, SYMBOLS, PROBES, SEED = 64, 8, 24, 7
+#: Coordinates of a rotation at most, by symbol; the last holds for all later ones.
+WIDTHS = (128, 128, 128, 16)
 #: Distinct ids besides the query's own at which the ascent ends; rows of a segment; queries of a block.
 ENOUGH, SEGMENT, BLOCK = 256, 8192, 4096
 #: Best coordinates of each of the first two symbols whose pairs are probed, and distances computed at a time.
 NEXT, STEP = 8, 200_000
 #: Queries and matches that are looked at together.
 ROWS, MATCHES = 256, 4_000_000
+#: Rows that are rotated together.
+TURNED = 1024
 BITS = 8
 
 
-def rotations(dim: int, trees: int = TREES, symbols: int = SYMBOLS, seed: int = SEED) -> np.ndarray:
-    """Random directions, a matrix for each symbol of each tree; the seed alone decides them."""
-    return np.random.default_rng(seed).standard_normal((trees, symbols, dim, min(dim, 1 << (BITS - 1))), dtype=np.float32)
+def rotations(dim: int, trees: int = TREES, symbols: int = SYMBOLS, seed: int = SEED) -> list[np.ndarray]:
+    """Random directions, (dim, trees, width) for each symbol; the seed alone decides them."""
+    rng = np.random.default_rng(seed)
+    return [rng.standard_normal((dim, trees, min(dim, WIDTHS[min(s, len(WIDTHS) - 1)])), dtype=np.float32) for s in range(symbols)]
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -45,50 +51,52 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _symbol(x: np.ndarray) -> np.ndarray:
-    at = np.abs(x).argmax(axis=1)
-    return (2 * at + (x[np.arange(len(x)), at] < 0)).astype(np.uint64)
+def _turned(unit: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """(rows, trees, width): the rows' coordinates after the rotations of one symbol."""
+    return (unit @ r.reshape(len(r), -1)).reshape(len(unit), *r.shape[1:])
 
 
-def strings(v: np.ndarray, rot: np.ndarray) -> np.ndarray:
+def strings(v: np.ndarray, rot: list[np.ndarray]) -> np.ndarray:
     """(rows, trees) hash strings: a byte for each symbol, the first in the highest."""
-    trees, symbols = rot.shape[:2]
-    out, unit = np.zeros((len(v), trees), np.uint64), _unit(v)
-    for t in range(trees):
-        for s in range(symbols):
-            out[:, t] = out[:, t] << np.uint64(BITS) | _symbol(unit @ rot[t, s])
+    out, unit = np.zeros((len(v), rot[0].shape[1]), np.uint64), _unit(v)
+    for lo in range(0, len(v), TURNED):
+        for r in rot:
+            x = _turned(unit[lo : lo + TURNED], r)
+            at = np.abs(x).argmax(axis=2)
+            minus = np.take_along_axis(x, at[:, :, None], axis=2)[:, :, 0] < 0
+            out[lo : lo + TURNED] = out[lo : lo + TURNED] << np.uint64(BITS) | (2 * at + minus).astype(np.uint64)
     return out
 
 
-def probes(v: np.ndarray, rot: np.ndarray, count: int = PROBES) -> np.ndarray:
+def probes(v: np.ndarray, rot: list[np.ndarray], count: int = PROBES) -> np.ndarray:
     """(rows, trees, count) strings: the own one first, then those whose first two symbols fit next best."""
-    trees, symbols = rot.shape[:2]
     own, unit = strings(v, rot), _unit(v)
-    if symbols < 2 or count <= 1:
+    if len(rot) < 2 or count <= 1:
         return own[:, :, None]
-    low = np.uint64(BITS * (symbols - 2))
+    low = np.uint64(BITS * (len(rot) - 2))
     rest = own & ((np.uint64(1) << low) - np.uint64(1))
-    out = np.empty((len(v), trees, min(count, min(NEXT, rot.shape[3]) ** 2)), np.uint64)
-    rows = np.arange(len(v))[:, None]
-    for t in range(trees):
+    parts = []
+    for lo in range(0, len(v), TURNED):
         pick = []
-        for s in (0, 1):
-            x = unit @ rot[t, s]
-            best = np.argsort(-np.abs(x), axis=1, kind="stable")[:, :NEXT]
-            size = np.abs(x)[rows, best]
-            pick.append(((2 * best + (x[rows, best] < 0)).astype(np.uint64), (size[:, :1] - size) ** 2))
-        cost = (pick[0][1][:, :, None] + pick[1][1][:, None, :]).reshape(len(v), -1)
-        both = (pick[0][0][:, :, None] << np.uint64(BITS) | pick[1][0][:, None, :]).reshape(len(v), -1)
-        order = np.argsort(cost, axis=1, kind="stable")[:, : out.shape[2]]
-        out[:, t] = both[rows, order] << low | rest[:, t, None]
-    return out
+        for r in rot[:2]:
+            x = _turned(unit[lo : lo + TURNED], r)
+            best = np.argsort(-np.abs(x), axis=2, kind="stable")[:, :, :NEXT]
+            signed = np.take_along_axis(x, best, axis=2)
+            size = np.abs(signed)
+            pick.append(((2 * best + (signed < 0)).astype(np.uint64), (size[:, :, :1] - size) ** 2))
+        n, trees = size.shape[:2]
+        cost = (pick[0][1][:, :, :, None] + pick[1][1][:, :, None, :]).reshape(n, trees, -1)
+        both = (pick[0][0][:, :, :, None] << np.uint64(BITS) | pick[1][0][:, :, None, :]).reshape(n, trees, -1)
+        order = np.argsort(cost, axis=2, kind="stable")[:, :, :count]
+        parts.append(np.take_along_axis(both, order, axis=2) << low)
+    return np.concatenate(parts) | rest[:, :, None]
 
 
 class Forest:
     """The trees of one segment."""
 
-    def __init__(self, ids: np.ndarray, v: np.ndarray, rot: np.ndarray) -> None:
-        self.ids, self.v, self.symbols = ids, v, rot.shape[1]
+    def __init__(self, ids: np.ndarray, v: np.ndarray, rot: list[np.ndarray]) -> None:
+        self.ids, self.v, self.symbols = ids, v, len(rot)
         self.distinct, self.id_at = np.unique(ids, return_inverse=True)
         self.id_count = len(self.distinct)
         codes = strings(v, rot)
@@ -163,14 +171,11 @@ class Forest:
 def valid_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id and v (array of double) of rows that take part.
 
-    Out are null ids, null and zero vectors, vectors with null or non-finite components, and those whose length isn't that of
-    the vector with the smallest id.
+    Out are null ids, null, empty and zero vectors, and vectors with null or non-finite components.
     """
     src = rows.select(rows[vec_id].cast("long").alias("vec_id"), rows[embedding].cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & (F.size("v") > 0))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    good = src.filter(F.coalesce(fine, F.lit(False)))
-    first = good.agg(F.min_by(F.size("v"), "vec_id").alias("d")).first()
-    return good.filter(F.size("v") == (first["d"] or 0))
+    return src.filter(F.coalesce(fine, F.lit(False)))
 
 
 def neighbours(
@@ -180,28 +185,34 @@ def neighbours(
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query, without itself.
 
     ``is_query`` is a condition on ``vec_id``. score is the Euclidean distance of the original vectors
-    in doubles; ties go to the smaller id. An id that comes twice counts once, by its nearer vector (as a query: by the
-    smaller vector). See :func:`valid_vectors` for the rows that take part. An empty table gives an empty result.
+    in doubles; ties go to the smaller id. Vectors of one length are a space of their own: none is dropped for its length, and
+    only vectors of one length are compared. An id that comes twice in a space counts once, by its nearer vector (as a query: by
+    the smaller vector). See :func:`valid_vectors` for the rows that take part. An empty table gives an empty result.
     """
     spark = rows.sparkSession
     vectors = valid_vectors(rows, vec_id, embedding)
-    queries = vectors.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = vectors.filter(is_query).groupBy("vec_id", F.size("v").alias("dim")).agg(F.min("v").alias("v"))
     total = queries.count()
     schema = "query_id long, vec_id long, score double"
     found = None
     blocks = -(-total // BLOCK)
     for i in range(blocks):
         block = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).orderBy("vec_id").collect()  # about BLOCK rows
-        if not block:
+        spaces = {}
+        for dim in sorted({r["dim"] for r in block}):
+            own = [r for r in block if r["dim"] == dim]
+            q = np.array([r["v"] for r in own], float)
+            spaces[dim] = np.array([r["vec_id"] for r in own], np.int64), q, probes(q, rotations(dim, trees, symbols, seed), count)
+        if not spaces:
             continue
-        q_ids, q = np.array([r["vec_id"] for r in block], np.int64), np.array([r["v"] for r in block], float)
-        shared = spark.sparkContext.broadcast((q_ids, q, probes(q, rotations(q.shape[1], trees, symbols, seed), count)))
+        shared = spark.sparkContext.broadcast(spaces)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            q_ids, q, asked = shared.value
-            rot = rotations(q.shape[1], trees, symbols, seed)
-            for ids, v in _segments(batches, q.shape[1]):
-                a, b, d = Forest(ids, v, rot).nearest(q_ids, q, asked, k, enough)
+            rot = {}
+            for dim, ids, v in _segments(batches, shared.value):
+                if dim not in rot:
+                    rot = {dim: rotations(dim, trees, symbols, seed)}
+                a, b, d = Forest(ids, v, rot[dim]).nearest(*shared.value[dim], k, enough)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], names=["query_id", "vec_id", "score"])
 
         part = vectors.mapInArrow(run, schema)
@@ -215,18 +226,26 @@ def neighbours(
     return best.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _segments(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) of SEGMENT rows at most, from the batches of a partition."""
-    ids, vs, n = [], [], 0
+def _segments(batches: Iterator[pa.RecordBatch], dims: Collection[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dim, ids, vectors) of SEGMENT rows at most, from the batches of a partition; lengths that aren't in ``dims`` are passed over."""
+    held: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
+
+    def joined(dim: int) -> tuple[int, np.ndarray, np.ndarray]:
+        ids, vs = held.pop(dim)
+        return dim, np.concatenate(ids), np.concatenate(vs)
+
     for b in batches:
-        for lo in range(0, b.num_rows, SEGMENT):
-            piece = b.slice(lo, SEGMENT)
-            ids.append(piece.column(0).to_numpy())
-            vs.append(piece.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
-            n += piece.num_rows
-            if n >= SEGMENT:
-                whole, v = np.concatenate(ids), np.concatenate(vs)
-                yield whole[:SEGMENT], v[:SEGMENT]
-                ids, vs, n = [whole[SEGMENT:]], [v[SEGMENT:]], n - SEGMENT
-    if n:
-        yield np.concatenate(ids), np.concatenate(vs)
+        sizes = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+        for dim in sorted({*sizes.tolist()} & {*dims}):
+            own = b.filter(pa.array(sizes == dim))
+            at = 0
+            while at < own.num_rows:
+                ids, vs = held.setdefault(dim, ([], []))
+                piece = own.slice(at, SEGMENT - sum(map(len, ids)))
+                at += piece.num_rows
+                ids.append(piece.column(0).to_numpy())
+                vs.append(piece.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+                if sum(map(len, ids)) == SEGMENT:
+                    yield joined(dim)
+    for dim in sorted(held):
+        yield joined(dim)
