@@ -145,6 +145,28 @@ def test_links_of_planted_fingerprints(spark):
     assert part([root(i) for i in range(len(values))]) == part(want)
 
 
+def test_links_in_crowded_blocks(spark, monkeypatch):
+    """Blocks that are too crowded to be paired give the same components."""
+    rng = np.random.default_rng(1)
+    values = [int(x) for x in rng.integers(0, 2**62, 10)]
+    values += [values[0] ^ (1 << int(i)) ^ (1 << int(j)) for i, j in rng.integers(0, 62, (120, 2))]
+    values = sorted(set(values))
+    frame = spark.createDataFrame([(v,) for v in values], "fp long")
+
+    def parts():
+        up = {v: v for v in values}
+        for r in simhash.links(frame).collect():
+            x, y = sorted((up[r["a"]], up[r["b"]]))
+            up = {v: x if u == y else u for v, u in up.items()}
+        return up
+
+    plain = parts()
+    monkeypatch.setattr(simhash, "CROWD", 3)
+    assert parts() == plain
+    root = slow_components(values, lambda a, b: (a ^ b).bit_count() <= 2)
+    assert len(set(plain.values())) == len(set(root))
+
+
 # 3 secrets ----------------------------------------------------------------------
 
 
@@ -184,6 +206,32 @@ def test_ownership_and_redaction(spark):
     assert red[10]["text"] == "again [SECRET]"
 
 
+def test_ownership_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    value = lambda i: f"{i:04d}" + hashlib.md5(str(i).encode()).hexdigest()[:20]
+    rows = []
+    for i in range(400):
+        n = int(rng.integers(0, 4))
+        owner = None if i % 11 == 0 else f"o{int(rng.integers(0, 6))}"
+        rows.append((i // 2 if i % 7 == 0 else i, " ".join(f"token={value(int(x))} x" for x in rng.geometric(0.02, n)), owner, 0))
+    rows += [(1000 + i, f"key: token={value(5000)}", "one", 0) for i in range(40)]  # many repositories of one owner
+    rows += [(2000 + i, f"token={value(6000)}", "one", 0) for i in range(3)] + [rows[0], rows[1], (None, f"token={value(6000)}", None, 0)]
+    owners, repos = defaultdict(set), defaultdict(set)
+    values_of = lambda t: [v for m in re.finditer(r"token=([0-9a-f]{24})", t) for v in (m[1], m[1])]  # noqa: E731  as assign and as hex
+    for i, t, o, _ in rows:
+        for v in values_of(t):
+            owners[v].add(o)
+            repos[v].add(i)
+    live = lambda v: len(owners[v]) < secrets.EXAMPLE_OWNERS and len(repos[v]) < secrets.EXAMPLE_REPOS
+    want = Counter()
+    for i, t, _, _ in rows:
+        vs = values_of(t)
+        want[(i, sum(map(live, vs)), sum(not live(v) for v in vs), max((len(owners[v]) for v in vs), default=0), max((len(repos[v]) for v in vs), default=0))] += 1
+    got = secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int").repartition(3))
+    assert Counter(map(tuple, got.select("doc_id", "n_live", "n_example", "most_owners", "most_repos").collect())) == want
+    assert not live(value(5000)) and live(value(6000)) and any(map(live, owners))
+
+
 def test_redaction_leaves_columns_and_rows(docs, empty):
     out = secrets.redacted(docs)
     assert out.columns == docs.columns and out.count() == docs.count() and secrets.redacted(empty).count() == 0
@@ -247,6 +295,36 @@ def test_token_reads_are_selective(spark, docs, tmp_path):
     assert column.has_offset_index and column.has_column_index
 
 
+def test_token_columns_and_row_groups(spark, tmp_path):
+    """Tokens are dictionary or delta encoded with page indexes; row groups follow the size asked for."""
+    import pyarrow.parquet as pq
+
+    df = spark.range(3000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 400), i -> conv(cast(pmod(xxhash64(id, i), 100000) AS string), 10, 36))) AS text")
+    tokens.write_tokens(df, str(tmp_path / "t"), files=1, row_group=1 << 20)
+    (path,) = (p for p in (tmp_path / "t").iterdir() if p.suffix == ".parquet")
+    meta = pq.ParquetFile(path).metadata
+    assert meta.num_row_groups > 2
+    for g in range(meta.num_row_groups):
+        column = meta.row_group(g).column(4)
+        assert column.path_in_schema.startswith("tokens") and column.has_offset_index and column.has_column_index
+        assert {*column.encodings} & {"RLE_DICTIONARY", "PLAIN_DICTIONARY", "DELTA_BINARY_PACKED"}
+        assert meta.row_group(g).total_byte_size < 4 << 20
+
+
+def test_word_cache_is_bounded(library, monkeypatch):
+    import public_tokenizers as P
+
+    lib = library["byte_bpe_50k.json"]
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"{x:x}" for x in rng.integers(0, 1 << 30, 60)) + " the end " + "long" * 50 for _ in range(40)]
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 200)
+    enc = tokens.WordEncoder(P.path("byte_bpe_50k.json"))
+    for lo in range(0, len(texts), 4):
+        part = texts[lo : lo + 4]
+        assert [np.frombuffer(x, np.int32).tolist() for x in enc.packed(part)] == [lib.encode(t, add_special_tokens=False).ids for t in part]
+        assert len(enc.words) <= 200 and max(map(len, enc.words), default=0) <= tokens.LONG_WORD
+
+
 # 1 licences ---------------------------------------------------------------------
 
 
