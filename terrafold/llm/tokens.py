@@ -29,8 +29,8 @@ from terrafold.llm.common import new_path, shuffle_width
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 ROW_GROUP, PAGE = 16 << 20, 256 << 10
-#: Words, and letters in them, that a worker remembers before it keeps those of its last texts only (about 20 MB).
-CACHE_WORDS, CACHE_LETTERS = 80_000, 1_000_000
+#: Words, and letters in them, that a worker remembers before it keeps those of its last texts only (about 90 MB).
+CACHE_WORDS, CACHE_LETTERS = 400_000, 5_000_000
 #: Longer words are never remembered.
 LONG_WORD = 64
 #: Texts and characters that are encoded together.
@@ -55,10 +55,14 @@ class _Words(dict[str, bytes]):
     def __init__(self, model, letters: list[str]) -> None:  # noqa: ANN001
         self.tokenize = model.tokenize
         self.letters = {i: c for i, c in enumerate(letters) if chr(i) != c}
+        self.space = letters[32]
         self.held = 0
 
     def __missing__(self, word: str) -> bytes:
-        shown = word.encode().decode("latin-1").translate(self.letters)
+        if word.isascii() and word.isprintable():  # of those characters only the space is shown by another
+            shown = word.replace(" ", self.space)
+        else:
+            shown = word.encode().decode("latin-1").translate(self.letters)
         out = array("i", [t.id for t in self.tokenize(shown)]).tobytes()
         if len(word) <= LONG_WORD:
             self[word] = out
@@ -149,7 +153,6 @@ def write_tokens(docs: DataFrame, target: str, text: str = "text", doc_id: str =
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(at + ends - n), pa.array(n), lists], names=["doc_id", "part", "local_start", "n_tokens", "tokens"])
                 at += int(ends[-1])
-        enc.words.forget()
 
     out = ranged.mapInArrow(run, "doc_id long, part int, local_start long, n_tokens long, tokens array<int>")
     out.write.options(**WRITE_OPTIONS | {"parquet.block.size": str(row_group)}).parquet(target)
