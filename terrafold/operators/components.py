@@ -25,19 +25,20 @@ def _small(e: DataFrame) -> DataFrame:
     return moved.union(own).filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, keep: bool = False) -> DataFrame:
     """node, component (its smallest node) for every node of ``edges`` (a, b longs; a < b).
 
     Neighbour lists are never gathered: a node's smallest neighbour comes from a partial
     aggregate and goes back by a join, which Spark splits where one node is hot. Rounds grow with
-    the logarithm of the longest chain. Nodes without edges aren't listed.
+    the logarithm of the longest chain. Nodes without edges aren't listed. A stored table of ``edges`` is deleted unless ``keep``.
     """
     held, before = edges, None
     for _ in range(MAX_ROUNDS):
         now = stored(_small(_large(held)), "stars")
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         mark = tuple(mark)
-        drop_stored(held)
+        if held is not edges or not keep:
+            drop_stored(held)
         held = now
         if mark == before or not mark[0]:
             break
