@@ -12,7 +12,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Buckets of an exact rank for each million rows: a group with a third of them still has short buckets.
 RANK_BUCKETS = 64
 #: Values of a folded hash (see :func:`split_by_key`).
-FOLD = 1 << 17
+FOLD = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

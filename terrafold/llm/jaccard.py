@@ -1,17 +1,23 @@
 """Texts whose sets of word shingles have a Jaccard similarity of a threshold or more: every such pair is found or implied.
 
-Candidates: put in any one order, two sets of similarity 4/5 or more share a member among the first n - ceil(4n/5) + 1 of
+Candidates come two ways. Pairs of SimHash fingerprints of the sets that share pigeonhole blocks and differ in two bits at most
+(:func:`terrafold.llm.simhash.links`) are most of the close copies. No number of bits that blocks can serve reaches down to a
+similarity of 0.8 (such pairs differ in 10 of 64 bits on average), so an exact way finds the rest: put in any
+one order, two sets of similarity 4/5 or more share a member among the first n - ceil(4n/5) + 1 of
 each. The order starts with members that a sample of the texts doesn't show to be common, so common lines and passages are
 rarely among them. The sample decides the order alone, never the result.
 
-Links: the texts that share a member are first compared with the smallest and the largest of them, and components are built
-from what is found. Only where a shared member still joins several components are pairs listed, between components
-alone, so a large group of near copies is never expanded. All comparisons are exact, on whole sets.
+Links: the texts that share a first member are compared with the smallest and the largest of them, and so are the pairs by
+fingerprints; components are built from what is found. Only where a shared member still joins several components are pairs
+listed, between members outside its main component and the others, so a large group of near copies is never expanded.
+
+Before whole sets are compared, pairs go whose sizes can't fit, and those that share too few first members: with c shared
+ones, the whole sets share c + ceil(4/5 max(n, m)) - 1 at most. All comparisons are exact, on whole sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import stored
+from terrafold.llm.common import drop_stored, split_by_key, stored
 from terrafold.operators.components import connected
 
 WORDS, SEED = 5, 42
@@ -27,8 +33,8 @@ WORDS, SEED = 5, 42
 NUM, DEN = 4, 5
 #: Texts of the sample, how many of them have a common member, and common members at most.
 SAMPLE, COMMON, MOST = 4_000, 3, 100_000
-#: Words whose hashes are kept.
-CACHE = 200_000
+#: Words whose hashes are kept; texts and members that are looked at together.
+CACHE, ROWS, STEP = 50_000, 500, 1 << 15
 _LOWER = bytes(range(256)).lower()
 
 
@@ -64,46 +70,64 @@ def first_members(members: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([members[~late], members[late]])[: n - -(-NUM * n // DEN) + 1] if n else members
 
 
+def majority(members: np.ndarray) -> int:
+    """The SimHash fingerprint of a set, as a signed long: the bits that over half of its members have."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(members), STEP):
+        ones += np.unpackbits(members[at : at + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(members), bitorder="little").view(np.int64)[0])
+
+
+def set_id(members: np.ndarray) -> int:
+    """A hash of the whole set, as a signed long."""
+    h = xxhash.xxh64_intdigest(members.tobytes(), SEED)
+    return h - ((h >> 63) << 64)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     flat = np.concatenate([*arrays, np.empty(0, np.uint64)])
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.uint64).view(np.int64)))
 
 
-def _sets(src: DataFrame, words: int) -> DataFrame:
-    """k and s, the set, of ``src`` (k, t)."""
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, b.num_rows, ROWS):
+            yield b.slice(lo, ROWS)
+
+
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """sid and s, the set, of ``texts`` (t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingles(words)
-        for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                piece = b.slice(lo, 1000)
-                yield pa.RecordBatch.from_arrays([piece.column(0), _lists([cut(t.as_py()) for t in piece.column(1)])], names=["k", "s"])
+        for b in _pieces(batches):
+            sets = [cut(t.as_py()) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(map(set_id, sets), pa.int64()), _lists(sets)], names=["sid", "s"])
 
-    return src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, s array<long>")
+    return texts.mapInArrow(run, "sid long, s array<long>")
 
 
 def _common(src: DataFrame, words: int) -> np.ndarray:
     """Members that are common in a sample; sorted."""
     every = max(1, src.count() // SAMPLE)
-    some = src.filter(F.pmod(F.xxhash64("k"), F.lit(every)) == 0)
+    some = src.filter(F.pmod(F.xxhash64("k"), F.lit(every)) == 0).select("t")
     counts = _sets(some, words).select(F.explode("s").alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON)
     return np.sort(np.array([r["m"] for r in counts.orderBy(F.desc("n"), "m").limit(MOST).collect()], np.int64).view(np.uint64))
 
 
 def keyed(src: DataFrame, words: int = WORDS) -> DataFrame:
-    """k, sid (a hash of the whole set), n (its size) and keys (the first members) of ``src`` (k, t)."""
+    """k, sid, fp (the fingerprint), n (the set's size) and keys (its first members) of ``src`` (k, t)."""
     shared = src.sparkSession.sparkContext.broadcast(_common(src, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, common = Shingles(words), shared.value
-        for b in batches:
+        for b in _pieces(batches):
             sets = [cut(t.as_py()) for t in b.column(1)]
-            sid = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            n = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sid), n, _lists([first_members(s, common) for s in sets])], names=["k", "sid", "n", "keys"])
+            sid, fp, n = (pa.array([f(s) for s in sets], pa.int64()) for f in (set_id, majority, len))
+            yield pa.RecordBatch.from_arrays([b.column(0), sid, fp, n, _lists([first_members(s, common) for s in sets])], names=["k", "sid", "fp", "n", "keys"])
 
-    return src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, sid long, n long, keys array<long>")
+    return src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, sid long, fp long, n long, keys array<long>")
 
 
 def _fits(n: Column, m: Column) -> Column:
@@ -111,49 +135,102 @@ def _fits(n: Column, m: Column) -> Column:
     return F.least(n, m) * DEN >= F.greatest(n, m) * NUM
 
 
-def components(src: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """Rows k, sid of ``src`` (k, t), and sid, component (its smallest sid) of each sid that is linked with another."""
-    rows = stored(keyed(src, words), "shingles")
-    own = rows.groupBy("sid").agg(F.min("k").alias("k"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
-    flat = own.select("sid", "n", F.explode("keys").alias("key"))
-    twice = flat.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    met = stored(flat.join(twice, "key", "left_semi"), "met")
-    if met.isEmpty():
-        return rows.select("k", "sid"), rows.sparkSession.createDataFrame([], "sid long, component long")
-    ends = met.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"))
-    # whole sets of the texts that have a candidate, one text for each sid
-    asked = stored(met.select("sid", "n").distinct(), "asked")
-    at = rows.groupBy("sid").agg(F.min("k").alias("k")).join(asked, "sid")
-    sets = stored(_sets(src.join(at, "k").select(F.struct("sid", "n").alias("k"), "t"), words).select("k.sid", "k.n", "s"), "sets")
-    if sets.count() > asked.count():  # equal rows have one key
-        sets = stored(sets.groupBy("sid").agg(F.any_value("n").alias("n"), F.any_value("s").alias("s")), "sets")
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        x = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
-        y = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-        both = pairs.join(x, "a").join(y, "b")
-        return both.filter(F.size(F.array_intersect("sa", "sb")) * (NUM + DEN) >= (F.col("na") + F.col("nb")) * NUM).select("a", "b")
-
-    sizes = asked.select(F.col("sid").alias("o"), F.col("n").alias("m"))
-    star = met.join(ends, "key").select("sid", "n", F.explode(F.array("lo", "hi")).alias("o")).filter("sid <> o").select(F.least("sid", "o").alias("a"), F.greatest("sid", "o").alias("b")).distinct()
-    fit = star.join(asked.select(F.col("sid").alias("a"), "n"), "a").join(sizes.withColumnRenamed("o", "b"), "b").filter(_fits(F.col("n"), F.col("m"))).select("a", "b")
-    fit = stored(fit, "pairs")
-    links = stored(similar(fit), "links")
-    comp = stored(_named(links, asked), "components")
-    # a shared member that still joins components: all pairs between them that weren't compared
-    member = met.select("key", "sid", "n").join(comp, "sid")
-    open_ = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    left = stored(member.join(open_, "key", "left_semi"), "open")
-    p, q = left.alias("p"), left.alias("q")
-    cross = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.sid") < F.col("q.sid")) & (F.col("p.component") != F.col("q.component")) & _fits(F.col("p.n"), F.col("q.n")))
-    rest = cross.select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b")).distinct().join(fit, ["a", "b"], "left_anti")
-    more = stored(similar(rest), "links")
-    if not more.isEmpty():
-        comp = stored(_named(links.unionByName(more), asked), "components")
-    return rows.select("k", "sid"), comp
-
-
-def _named(links: DataFrame, asked: DataFrame) -> DataFrame:
-    """sid, component of every asked sid."""
-    found = connected(stored(links, "links")).select(F.col("node").alias("sid"), "component")
-    return asked.select("sid").join(found, "sid", "left").select("sid", F.coalesce("component", "sid").alias("component"))
+def _reaches(c: Column, n: Column, m: Column) -> Column:
+    """Sets of sizes n and m with c shared first members can be similar."""
+    most = F.greatest(n, m)
+    return (c + F.ceil(most * NUM / F.lit(DEN)) - 1) * (NUM + DEN) >= (n + m) * NUM
+
+
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+
+
+def _both(pairs: DataFrame, facts: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` with ``columns`` of both ends, suffixed _a and _b; an inner join."""
+    for end in ("a", "b"):
+        pairs = pairs.join(facts.select(F.col("sid").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns)), end)
+    return pairs
+
+
+class Join:
+    """The similarity join of ``src`` (k, t)."""
+
+    def __init__(self, src: DataFrame, words: int = WORDS, links: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        self.src, self.words = src, words
+        self.rows = stored(keyed(src, words), "shingles")
+        self.sizes = stored(self.rows.groupBy("sid").agg(F.min("k").alias("k"), F.max("n").alias("n"), F.max("fp").alias("fp")), "sizes")
+        self.links = links
+
+    def by_fingerprint(self) -> DataFrame:
+        """a, b: sets with equal or linked fingerprints, by the smallest set of each fingerprint."""
+        least = self.sizes.groupBy("fp").agg(F.min("sid").alias("rep"))
+        same = self.sizes.join(least, "fp").filter("sid <> rep").select(F.col("rep").alias("a"), F.col("sid").alias("b"))
+        if self.links is None:
+            return same
+        ends = self.links(self.sizes.select("fp")).toDF("fa", "fb")
+        near = ends.join(least.toDF("fa", "a"), "fa").join(least.toDF("fb", "b"), "fb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return same.union(near)
+
+    def met(self) -> DataFrame:
+        """key, sid, lo, hi: first members that two sets or more have, their sets, and the smallest and largest of those."""
+        flat = self.rows.select("sid", F.explode("keys").alias("key"))
+        ends = stored(flat.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo < hi"), "ends")
+        return stored(flat.join(ends, "key").distinct(), "met")
+
+    def promising(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` whose sizes and shared first members allow the similarity."""
+        fit = stored(_both(pairs, self.sizes, "n").filter(_fits(F.col("n_a"), F.col("n_b"))), "fit")
+        nodes = _nodes(fit)
+        lists = split_by_key(self.rows.select("sid", "keys"), nodes, "sid")[1].join(nodes, "sid", "left_semi").dropDuplicates(["sid"])
+        shared = _both(fit, stored(lists, "lists"), "keys").withColumn("c", F.size(F.array_intersect("keys_a", "keys_b")))
+        return stored(shared.filter(_reaches(F.col("c"), F.col("n_a"), F.col("n_b"))).select("a", "b", "n_a", "n_b"), "promising")
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """a, b of a stored table ``pairs`` (a, b, n_a, n_b) that are similar, by whole sets."""
+        nodes = stored(_nodes(pairs), "nodes")
+        wanted = self.sizes.join(nodes, "sid", "left_semi").select("k")
+        # the texts aren't shuffled: those whose key may be wanted are cut again, and their sets are joined by what they hold
+        texts = split_by_key(self.src, wanted, "k")[1].select("t")
+        sets = stored(_sets(texts, self.words).join(nodes, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+        both = _both(pairs, sets, "s").filter(F.size(F.array_intersect("s_a", "s_b")) * (NUM + DEN) >= (F.col("n_a") + F.col("n_b")) * NUM)
+        out = stored(both.select("a", "b"), "links")
+        drop_stored(sets)
+        return out
+
+    def across(self, met: DataFrame, comp: DataFrame, seen: DataFrame) -> DataFrame:
+        """a, b, n_a, n_b: promising pairs that share a first member, are of two components and aren't among ``seen``."""
+        member = met.select("key", "sid").join(self.sizes.select("sid", "n"), "sid").join(comp, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+        member = stored(member, "members")
+        parts = member.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+        open_ = parts.groupBy("key").agg(F.max_by("component", "c").alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
+        left = stored(member.join(open_, "key"), "open")
+        p, q = left.filter("component <> main").alias("p"), left.alias("q")
+        other = (F.col("p.component") != F.col("q.component")) & ((F.col("q.component") == F.col("q.main")) | (F.col("p.sid") < F.col("q.sid")))
+        met_ = p.join(q, (F.col("p.key") == F.col("q.key")) & other & _fits(F.col("p.n"), F.col("q.n")))
+        turned = F.col("p.sid") > F.col("q.sid")
+        ends = [F.when(turned, F.col(f"q.{c}")).otherwise(F.col(f"p.{c}")).alias(f"{x}a") for c, x in (("sid", ""), ("n", "n_"))]
+        ends += [F.when(turned, F.col(f"p.{c}")).otherwise(F.col(f"q.{c}")).alias(f"{x}b") for c, x in (("sid", ""), ("n", "n_"))]
+        counted = met_.select(*ends).groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"))
+        found = counted.filter(_reaches(F.col("c"), F.col("n_a"), F.col("n_b"))).join(seen, ["a", "b"], "left_anti").select("a", "b", "n_a", "n_b")
+        return stored(found, "across")
+
+
+def components(src: DataFrame, words: int = WORDS, links: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows k, sid of ``src`` (k, t), and sid, component (its smallest sid) of each sid that is linked with another.
+
+    ``links`` finds links (a, b) between fingerprints ``fp``. Texts without words are one set; they have no members and are
+    linked with no other. An empty table gives two empty ones.
+    """
+    join = Join(src, words, links)
+    met = join.met()
+    star = met.select("sid", F.explode(F.array("lo", "hi")).alias("o")).filter("sid <> o").select(F.least("sid", "o").alias("a"), F.greatest("sid", "o").alias("b"))
+    first = join.promising(star.union(join.by_fingerprint()).distinct())
+    found = join.similar(first)
+    more = join.similar(join.across(met, _named(found), first.select("a", "b")))
+    comp = _named(found if more.isEmpty() else stored(found.union(more), "links"))
+    return join.rows.select("k", "sid"), comp
+
+
+def _named(links: DataFrame) -> DataFrame:
+    """sid, component of every linked sid of a stored table."""
+    return stored(connected(links, keep=True).select(F.col("node").alias("sid"), "component"), "components")

@@ -132,12 +132,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = jaccard.WORDS) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest doc_id (null ids last; ties by a hash of the row).
 
-    Texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more, by an exact comparison
-    (:mod:`terrafold.llm.jaccard`); the three words and two bits above are those of the query op4 alone.
+    Texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Candidates are pairs of
+    fingerprints that :func:`links` finds, and what no fingerprint of 64 bits can promise to find comes an exact way; all of them
+    are compared as whole sets (:mod:`terrafold.llm.jaccard`). The three words above are those of the query op4 alone.
+    Null and empty texts are copies of each other; an empty table gives an empty result.
     """
     key = free_name(docs, "row_key")
     src = docs.withColumn(key, F.struct(F.col(f"`{doc_id}`").isNull().alias("none"), F.col(f"`{doc_id}`").alias("id"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("h")))
-    rows, comp = jaccard.components(src.select(F.col(key).alias("k"), F.col(f"`{text}`").alias("t")), words)
+    rows, comp = jaccard.components(src.select(F.col(key).alias("k"), F.col(f"`{text}`").alias("t")), words, links)
     # what goes: all keys of a component but its first, and repeated rows of one key but one
     own = rows.groupBy("k").agg(F.any_value("sid").alias("sid"), F.count(F.lit(1)).alias("times"))
     named = own.join(comp, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
