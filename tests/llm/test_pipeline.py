@@ -6,7 +6,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-import xxhash
 
 WORDS = "the of and to in is that it for was on are as with be at by this from have".split()
 
@@ -32,22 +31,20 @@ def folder(spark, tmp_path_factory):
     return str(path), rows
 
 
-def fingerprint(t):
-    w = t.encode().lower().split()
-    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(len(w) - 2)]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+def similar(a, b):
+    """Jaccard similarity of five-word shingles of 0.8 or more: the rule of near-duplicate stages."""
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.lower().split(), b.lower().split()))
+    return 5 * len(x & y) >= 4 * len(x | y)
 
 
 def plain(rows):
     kept = {i: (t, s) for i, t, _, s, _ in rows if t and len(t.split()) >= 50 and "###" not in t}
-    fps, best = {i: fingerprint(t) for i, (t, _) in kept.items()}, {}
-    ids = sorted(kept)
+    best, ids = {}, sorted(kept)
+    near = [(a, b) for a in ids for b in ids if a < b and similar(kept[a][0], kept[b][0])]
     group = {i: i for i in ids}
     for _ in ids:
-        for a in ids:
-            for b in ids:
-                if (fps[a] ^ fps[b]).bit_count() <= 2:
-                    group[a] = group[b] = min(group[a], group[b])
+        for a, b in near:
+            group[a] = group[b] = min(group[a], group[b])
         if group == best:
             break
         best = dict(group)
