@@ -10,6 +10,7 @@ are merged step by step. Answers about pairs and words are kept by each worker i
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -23,7 +24,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS, CACHE_PAIRS = 400_000, 4_000_000
+#: Words, letters in them and pairs that a worker remembers; what it keeps beyond is of its last texts only.
+CACHE_WORDS, CACHE_LETTERS, CACHE_PAIRS = 250_000, 3_000_000, 4_000_000
+#: Sequences of so many symbols or fewer are merged by scanning all their pairs, longer ones by a heap; the result is the same.
+SHORT = 64
 #: Texts of these characters alone need no library to be normalised and cut into words.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\u024f]")
 LETTER, NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -79,6 +83,8 @@ class Merger:
 
     def merge(self, ids: list[int]) -> list[int]:
         """The plain algorithm: join the leftmost pair of the lowest rank until none is left."""
+        if len(ids) > SHORT:
+            return self._merge_long(ids)
         ids, get, width, made = list(ids), self.rank.get, self.width, self.made
         ranks = [get(a * width + b, _NEVER) for a, b in zip(ids, ids[1:])]
         while ranks:
@@ -94,6 +100,26 @@ class Merger:
                 ranks[i] = get(ids[i] * width + ids[i + 1], _NEVER)
         return ids
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same by a heap of (rank, place) and links between places: n log n steps."""
+        ids, get, width, made, n = list(ids), self.rank.get, self.width, self.made, len(ids)
+        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting = [(r, i) for i in range(n - 1) if (r := get(ids[i] * width + ids[i + 1])) is not None]
+        heapq.heapify(waiting)
+        while waiting:
+            rank, i = heapq.heappop(waiting)
+            j = right[i]
+            # a place that has gone, or whose pair has changed since
+            if ids[i] < 0 or j >= n or get(ids[i] * width + ids[j]) != rank:
+                continue
+            ids[i], ids[j], right[i] = made[rank], -1, right[j]
+            if right[j] < n:
+                left[right[j]] = i
+            for k in (left[i], i):
+                if k >= 0 and right[k] < n and (r := get(ids[k] * width + ids[right[k]])) is not None:
+                    heapq.heappush(waiting, (r, k))
+        return [t for t in ids if t >= 0]
+
     def parts(self, token: int) -> list[int]:
         """The single-letter ids that a token stands for."""
         s = self.token[token]
@@ -167,10 +193,15 @@ class Merger:
         clean = self.library.normalizer.normalize_str(text)
         return ["\0" + w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(clean)]
 
-    def _forget(self) -> None:
-        self.words = {i: [i] for i in self.special.values()}
-        self.shown = {i: self.decimals([i]) for i in self.special.values()}
-        self.text = {i: self.decode([i]) for i in self.special.values()}
+    def _forget(self, recent: set[str | int] = frozenset()) -> None:
+        """Only ``recent`` words stay, or none if they are many themselves."""
+        left = recent & self.words.keys()
+        if len(left) > CACHE_WORDS // 2 or sum(len(w) for w in left if isinstance(w, str)) > CACHE_LETTERS // 2:
+            left = set()
+        self.words = {w: self.words[w] for w in left} | {i: [i] for i in self.special.values()}
+        self.shown = {w: self.shown[w] for w in left} | {i: self.decimals([i]) for i in self.special.values()}
+        self.text = {w: self.text[w] for w in left} | {i: self.decode([i]) for i in self.special.values()}
+        self.held = sum(len(w) for w in left if isinstance(w, str))
 
     def _known(self, texts: Iterable[str]) -> list[list[str | int]]:
         """Texts as words (special tokens as their ids), all of which have an entry in the caches."""
@@ -183,10 +214,12 @@ class Merger:
                 cut.append(row)
             else:
                 cut.append(self._cut(t))
-        if len(self.words) > CACHE_WORDS:
-            self._forget()
+        asked = set().union(*cut)
+        if len(self.words) > CACHE_WORDS or self.held > CACHE_LETTERS:
+            self._forget(asked)
         letters = self.letters
-        new = list(set().union(*cut).difference(self.words))
+        new = list(asked.difference(self.words))
+        self.held += sum(map(len, new))
         spelled = [w[1:] if w[0] == "\0" else "".join([letters[b] for b in w.encode("utf-8", "surrogatepass")]) for w in new]
         for w, ids in zip(new, self.encode_words(spelled), strict=True):
             self.words[w], self.shown[w], self.text[w] = ids, self.decimals(ids), self.decode(ids)
