@@ -66,7 +66,7 @@ units AS (SELECT row_number() OVER () AS u, * FROM (
   UNION ALL SELECT uid, 'block', unnest(string_split_regex(t, '\\n[ \\t]*\\n')) FROM d WHERE regexp_matches(t, '\\n[ \\t]*\\n')
   UNION ALL SELECT uid, 'whole', t FROM d)),
 w AS (SELECT u, uid, unit, {words("x")} AS w FROM units),
-g AS (SELECT u, uid, unit, {grams("w")} AS g FROM w WHERE len(w) <= 1000),
+g AS (SELECT u, uid, unit, {grams("w")} AS g FROM w),
 m AS (SELECT u, uid, unit, name, i, 2 * len(list_intersect(g.g, tpl.g)) / (len(g.g) + len(tpl.g)) AS dice
       FROM g JOIN tpl ON 2 * least(len(g.g), len(tpl.g)) / (len(g.g) + len(tpl.g)) >= {LEAST}
       WHERE len(g.g) > 0 AND list_has_any(g.g, tpl.g)),
