@@ -18,13 +18,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled rows that the fit uses at most, by class, in the order of a hash of their id.
-MAX_TOXIC, MAX_CLEAN = 1500, 2500
+from terrafold.llm.common import stored
+
+#: The bounded sample of the fit: labelled rows at most, by class, in the order of a hash of their id; characters of all of them.
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 2500, 64 << 20
 FOLDS, HELD_OUT = 3, 1
 BITS = 18
+#: Words of a window; windows of each of three kinds that the fit uses at most, drawn evenly from all windows of the sample.
 WINDOW, MAX_WINDOWS = 24, 8000
 #: A feature labels tokens from this G statistic and this share of toxic texts on.
 LEAST_G, LEAST_SHARE = 18.0, 0.97
@@ -35,6 +38,13 @@ FLOOR, SPAN, THRESHOLD = 0.2, 0.5, 0.7
 _WORDS = re.compile(r"[^\W_]+")
 
 
+def words_of(text: str) -> list[str]:
+    """The text's words in lower case, one for each match of the pattern in the text itself."""
+    lower = text.lower()
+    # lower-casing may lengthen a text and split its words; words are then cut first
+    return _WORDS.findall(lower) if len(lower) == len(text) else [w.lower() for w in _WORDS.findall(text)]
+
+
 def features(word: str) -> tuple[str, ...]:
     return ("w" + word, *(f"p{word[:n]}" for n in (3, 4, 5, 6) if len(word) > n), "s" + word[-3:])
 
@@ -98,11 +108,11 @@ def _windows(texts: list[list[str]], toxic: list[int], labelled: set[str], seed:
             continue
         tags = [int(bool(y) and any(f in labelled for f in features(w))) for w in words] if y else [0] * len(words)
         hits = [i for i, t in enumerate(tags) if t]
-        for i in hits[:6]:
+        for i in hits:
             at = max(0, min(i - WINDOW // 2, len(words) - WINDOW))
             near.append((words[at : at + WINDOW], tags[at : at + WINDOW]))
         if not y:
-            for i in [i for i, w in enumerate(words) if not begin.isdisjoint(features(w))][:8]:
+            for i in [i for i, w in enumerate(words) if not begin.isdisjoint(features(w))]:
                 at = max(0, min(i - WINDOW // 2, len(words) - WINDOW))
                 like.append((words[at : at + WINDOW], tags[at : at + WINDOW]))
         for _ in range(1 if y else 3):
@@ -118,7 +128,7 @@ def _windows(texts: list[list[str]], toxic: list[int], labelled: set[str], seed:
 
 def fit(texts: list[str], toxic: list[int]) -> Field | None:
     """The field of labelled texts; None if no token can be labelled."""
-    split = [_WORDS.findall(t.lower()) for t in texts]
+    split = [words_of(t) for t in texts]
     labelled = token_labels(split, toxic)
     if not labelled:
         return None
@@ -214,8 +224,7 @@ class Scorer:
         """The document's score, and (start, end, marginal) of offending words in code points."""
         if not text:
             return 0.0, []
-        lower = text.lower()
-        words = _WORDS.findall(lower)
+        words = words_of(text)
         if not words:
             return 0.0, []
         p = self.marginals(words)
@@ -226,9 +235,10 @@ class Scorer:
         for x in p:
             if x >= FLOOR:
                 clean *= 1.0 - x
-        # lower-casing may lengthen a text; offsets are then those of the words found in the text itself
-        places = _WORDS.finditer(lower if len(lower) == len(text) else text)
-        spans = [(m.start(), m.end(), x) for m, x in zip(places, p, strict=False) if x >= SPAN]
+        spans = []
+        if top >= SPAN:
+            places = _WORDS.finditer(text.lower() if len(text.lower()) == len(text) else text)
+            spans = [(m.start(), m.end(), x) for m, x in zip(places, p, strict=True) if x >= SPAN]
         return min(1.0, max(top, 1.0 - clean)), spans
 
 
@@ -236,20 +246,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def trained(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Field | None:
-    """Fits on labelled rows outside the held-out fold: ``max_toxic`` and ``max_clean`` of them at most."""
+def trained(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_chars: int = MAX_CHARS) -> Field | None:
+    """Fits on labelled rows outside the held-out fold: ``max_toxic`` and ``max_clean`` of them, and ``max_chars`` characters, at most.
+
+    Rows without an id or a label, and null texts, take no part; a row labelled twice is toxic if any label says so; of
+    rows with one id the least text counts. None if the labels or the documents are empty or no token can be labelled.
+    """
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     order = F.xxhash64("doc_id")
     chosen = rows.filter("y = 1").orderBy(order, "doc_id").limit(max_toxic).union(rows.filter("y = 0").orderBy(order, "doc_id").limit(max_clean))
     src = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("t")).filter(F.col("t").isNotNull())
-    got = src.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "t", "y").collect()
-    got.sort(key=lambda r: r["doc_id"])
+    rows = stored(src.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("t").alias("t")), "sample")
+    # whole rows in the order of the hash until the characters are used up
+    so_far = F.sum(F.length("t")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    few = rows.select("doc_id", so_far.alias("upto")).filter(F.col("upto") <= max_chars).select("doc_id")  # max_toxic + max_clean rows at most
+    got = sorted(rows.join(F.broadcast(few), "doc_id").collect(), key=lambda r: r["doc_id"])
     return fit([r["t"] for r in got], [r["y"] for r in got])
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def scored(docs: DataFrame, field: Field | None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, held_out, score, predicted and spans, one row for each row of ``docs``.
 
@@ -275,6 +289,7 @@ def scored(docs: DataFrame, field: Field | None, text: str = "text", doc_id: str
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """:func:`scored` by a field :func:`trained` on ``labels``; see there for nulls, repeated rows and empty tables."""
     return scored(docs, trained(docs, labels, text, doc_id), text, doc_id)
 
 
