@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 
 from terrafold.llm.common import exact_rank, free_name, shuffle_width, stored
 
-#: Slots that are written at a time (of a schedule of its own: slots of one period), and documents in a block.
+#: Slots that are written at a time (of a schedule of its own: slots of one period), and documents in a block at least.
 PERIOD, BLOCK = 1000, 8
+#: Blocks are made longer where a table would have more of them than this, as one task writes the schedule: it bounds that
+#: task, and the deviation stays below one block. Sources at most; the schedule has a block of each in memory.
+MAX_BLOCKS, MAX_SOURCES = 8_000_000, 100_000
 #: Target weights, if none are given: sizes of sources to this power, in proportion.
 TEMPERATURE = 0.8
 
@@ -120,8 +123,11 @@ def lag(order: list[str | None], slots: dict[str | None, int]) -> Fraction:
 
 
 def _sizes(docs: DataFrame, source: str) -> dict[str | None, int]:
-    """Documents of each source; the driver holds a number for each source, none for each document."""
-    return {r[0]: r[1] for r in docs.groupBy(F.col(f"`{source}`").alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Documents of each source; the driver holds a number for each source, :data:`MAX_SOURCES` at most, none for each document."""
+    rows = docs.groupBy(F.col(f"`{source}`").alias("s")).agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(rows) > MAX_SOURCES:
+        raise ValueError(f"over {MAX_SOURCES} sources: give a column that names sources, not single documents")
+    return {r[0]: r[1] for r in rows}
 
 
 def tempered(sizes: dict[str | None, int], power: float = TEMPERATURE) -> dict[str | None, float]:
@@ -130,16 +136,16 @@ def tempered(sizes: dict[str | None, int], power: float = TEMPERATURE) -> dict[s
     return {s: x / total for s, x in raw.items()}
 
 
-def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source", doc_id: str = "doc_id", block: int = BLOCK, period: int = PERIOD, repeat: bool = True) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source", doc_id: str = "doc_id", block: int | None = None, period: int = PERIOD, repeat: bool = True) -> DataFrame:
     """``docs`` with ``mix_position`` (its place in the mixed stream), ``mix_slot``, ``mix_epoch`` and ``mix_target`` (the weight as a share).
 
-    Documents of a source follow a hash of their id; ``block`` of them fill one slot. Every row comes
-    at least once. With ``repeat``, the stream lasts until the source that is longest for its weight
+    Documents of a source follow a hash of their id; ``block`` of them fill one slot (:data:`BLOCK`, or as many as keep a table
+    within :data:`MAX_BLOCKS`). Every row comes at least once. With ``repeat``, the stream lasts until the source that is longest for its weight
     has been used up, and shorter sources start over (``mix_epoch`` counts from 0), so all shares hold
     to the end; without it each row comes once, and a source that has run dry leaves its slots empty.
     A source without a positive weight is put after the stream, in no proportion, once.
-    Null is a source of its own; null ids and ties are ordered by id, all their
-    columns, and equal rows come in any order. An empty table gives an empty result. Columns of ``docs`` that have
+    Null is a source of its own. Rows with null ids follow a hash of all their columns, and so do ties of the id's hash; rows
+    that are equal in all columns are interchangeable. (Maps have no hash; they are left out of it.) An empty table gives an empty result. Columns of ``docs`` that have
     the name of an added one are replaced.
     """
     docs = docs.drop("mix_position", "mix_slot", "mix_epoch", "mix_target")
@@ -149,13 +155,14 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, sourc
     return out.toDF(*names, *out.columns[len(names) :])
 
 
-def _mixed(docs: DataFrame, weights: dict[str | None, float] | None, source: str, doc_id: str, block: int, period: int, repeat: bool) -> DataFrame:
+def _mixed(docs: DataFrame, weights: dict[str | None, float] | None, source: str, doc_id: str, block: int | None, period: int, repeat: bool) -> DataFrame:
     spark = docs.sparkSession
     sizes = _sizes(docs, source)
+    block = block or max(BLOCK, -(-sum(sizes.values()) // MAX_BLOCKS))
     weights = weights if weights is not None else tempered(sizes)
     live = sorted((s for s, w in weights.items() if w > 0 and sizes.get(s)), key=lambda s: (s is None, s or ""))
     names = docs.columns
-    rank, key = free_name(docs, "mix_rank"), free_name(docs, "mix_key")
+    rank, key, tie = (free_name(docs, f"mix_{x}") for x in ("rank", "key", "tie"))
     if not sizes:
         return docs.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("mix_position", "long"), ("mix_slot", "long"), ("mix_epoch", "long"), ("mix_target", "double"))))
     # blocks until the last source is used up
@@ -173,8 +180,10 @@ def _mixed(docs: DataFrame, weights: dict[str | None, float] | None, source: str
     head = spark.createDataFrame(rows, "s string, i long, n long, owed long, share double, at long")
 
     total = sum(sizes.values())
-    mark = docs.withColumn(key, F.xxhash64(F.col(f"`{doc_id}`")))
-    ranked = exact_rank(mark, [source], F.col(key), rank, total, [F.col(f"`{doc_id}`")])
+    hashed = F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind))
+    own = F.col(f"`{doc_id}`")
+    mark = docs.withColumn(tie, hashed).withColumn(key, F.when(own.isNull(), F.col(tie)).otherwise(F.xxhash64(own)))
+    ranked = exact_rank(mark, [source], F.col(key), rank, total, [own, F.col(tie)])
     src = F.col(f"`{source}`")
     a = ranked.join(F.broadcast(head), src.eqNullSafe(head["s"]), "left").drop("s")
     again = F.ceil((F.col("owed") * block - F.col(rank)) / F.col("n")) - 1

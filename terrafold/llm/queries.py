@@ -58,8 +58,7 @@ def op9_bpe_speculative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "source")
-    return mixing.mixed(docs)
+    return mixing.mixed(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
