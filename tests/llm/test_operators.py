@@ -273,6 +273,32 @@ def test_speculation_matches_merging(library):
     assert m.encode_words([]) == []
 
 
+def test_very_long_words(library):
+    import time
+
+    import public_tokenizers as P
+
+    m, lib = bpe.Merger(P.path("word_bpe_49k.json")), library["word_bpe_49k.json"]
+    rng = np.random.default_rng(11)
+    text = "".join(rng.choice(list("abcdeilnorst"), 3000))
+    assert m.encode([text]) == [lib.encode(text, add_special_tokens=False).ids]
+    for n in (bpe.SHORT, bpe.SHORT + 1, 500):
+        ids = m.symbols("".join(rng.choice(list("aet hinrs".replace(" ", "")), n)))
+        long = m._merge_long(ids)
+        bpe_short, bpe.SHORT = bpe.SHORT, 1 << 30
+        try:
+            assert m.merge(ids) == long
+        finally:
+            bpe.SHORT = bpe_short
+    word = "".join(rng.choice(list("abcdeilnorst"), 1_000_000))
+    began = time.process_time()
+    (got,) = m.encode([word])
+    assert time.process_time() - began < 120 and "".join(m.token[t] for t in got) == word + "</w>"
+    m.encode(["a b"])
+    m._known(["c d"])
+    assert m.held <= bpe.CACHE_LETTERS
+
+
 def test_token_files(docs, empty, library):
     lib, at, want = library["byte_bpe_50k.json"], 0, []
     for i, t in sorted(((i, t) for i, t, _ in rows_of(docs)), key=lambda r: (r[0] is not None, r[0] or 0)):
@@ -355,6 +381,22 @@ def test_licence_bounds_lose_nothing():
             assert (got and (-got[0], got[1])) == slow_dice(v)
 
 
+def test_licence_bodies_and_many_blocks():
+    import time
+
+    m = licenses.Matcher()
+    for name, text in licenses.TEMPLATES[-6:]:
+        body = "Copyright (c) 2020 Somebody\n\n" + re.sub(r"((?:\S+ ){9}\S+) ", r"\1\n", text)
+        best = min(m.scan(body), key=lambda x: (-x[4], x[3]))
+        assert best[3] == name and best[4] > 0.95
+    text = "\n\n".join(f"block {i}\nwith words" if i % 1000 else "Released under\nthe MIT License." for i in range(100_000))
+    began = time.process_time()
+    found = m.scan(text)
+    assert time.process_time() - began < 30
+    blocks = [x for x in found if x[0] == "block"]
+    assert len(blocks) == 100 and all(text[x[1] : x[2]] == "Released under\nthe MIT License." for x in blocks)
+
+
 # 8 shards -----------------------------------------------------------------------
 
 
@@ -443,6 +485,13 @@ def test_mixture_keeps_small_and_uneven_weights(spark):
     assert all(((ends == s).cumsum().to_numpy() - w * np.arange(1, len(ends) + 1)).__abs__().max() < 1 + 1e-9 for s, w in want.items())
 
 
+def test_mixture_orders_rows_without_ids(spark):
+    rows = [(None, "s", f"text {i}", None) for i in range(500)] + [(7, "s", "b", 1), (7, "s", "a", 1), (7, "s", "a", 2), (7, None, None, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, mix_key int")
+    place = lambda d: sorted((r["mix_position"], r["text"], r["mix_key"]) for r in mixing.mixed(d, block=4).select("mix_position", "text", "mix_key").collect())
+    assert place(df) == place(df.repartition(7)) == place(df.orderBy(F.desc("text")))
+
+
 def test_mixed_table(docs):
     out = mixing.mixed_table(docs)
     assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in docs.collect()}
@@ -527,6 +576,49 @@ def test_toxicity_odd_rows(docs, empty, labelled):
     assert toxicity.toxicity(docs, labelled[1].filter("false")).filter("score > 0").count() == 0
 
 
+def test_offsets_where_lower_case_is_longer(labelled):
+    scorer = toxicity.Scorer(toxicity.trained(*labelled))
+    text = "İstanbul is a city " + "vilely here and there İ, ΑΣ. grotting"
+    spans = scorer.score(text)[1]
+    assert [text[a:b] for a, b, _ in spans] == ["vilely", "grotting"]
+    assert scorer.score(text.replace("İ", "I"))[0] > 0.9
+
+
+def test_fit_does_not_depend_on_row_order(labelled):
+    docs, labels = labelled
+    twice = docs.union(docs.selectExpr("doc_id", "concat('other ', text)").filter("doc_id % 2 = 0"))
+    a, b = (toxicity.trained(x, labels) for x in (twice.repartition(5), twice.orderBy(F.desc("doc_id"))))
+    assert np.array_equal(a.weights, b.weights)
+    assert toxicity.trained(docs, labels, max_chars=0) is None
+
+
+def test_gradient_of_the_fit():
+    """A step of the fit lowers the exact negative log-likelihood of its own windows."""
+    rng = np.random.default_rng(6)
+    words = [[WORDS[i] + WORDS[j] for i, j in rng.integers(0, 20, (30, 2))] for _ in range(60)]
+    toxic = [i % 2 for i in range(60)]
+    for w, y in zip(words, toxic):
+        if y:
+            w[int(rng.integers(0, 30))] = "grotting"
+    f = toxicity.fit([" ".join(w) for w in words], toxic)
+
+    def loss(field):
+        total = 0.0
+        for w, y in zip(words, toxic):
+            e = [field.emission(x) for x in w]
+            tags = [int(bool(y) and x == "grotting") for x in w]
+            s = field.start * tags[0] + sum(x * t for x, t in zip(e, tags)) + sum(field.trans[a, b] for a, b in zip(tags, tags[1:]))
+            a = np.array([0.0, field.start + e[0]])
+            for x in e[1:]:
+                a = np.array([np.logaddexp(a[0] + field.trans[0, 0], a[1] + field.trans[1, 0]), x + np.logaddexp(a[0] + field.trans[0, 1], a[1] + field.trans[1, 1])])
+            total += np.logaddexp(*a) - s
+        return total
+
+    start = np.zeros_like(f.weights)
+    start[-1] = -4.0
+    assert loss(f) < 0.2 * loss(toxicity.Field(start, -1.0, np.zeros((2, 2))))
+
+
 def test_marginals_match_enumeration():
     rng = np.random.default_rng(4)
     f = toxicity.Field(rng.normal(0, 0.7, (1 << toxicity.BITS) + 1), -0.4, rng.normal(0, 1, (2, 2)))
