@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -95,7 +96,7 @@ def smooth(path: DataFrame, iterations: int, data: float, curve: float, nodes: D
         cand = smooth_once(df, data, curve)
         ok = F.col("cx").isNotNull()
         if nodes is not None:
-            cand = stored(cand.withColumn("pid", F.monotonically_increasing_id()), "smooth")
+            cand = cand.withColumn("pid", F.struct("path_id", "seq"))
             inner = cand.filter(ok).select("pid", *(F.col("c" + c).alias(c) for c in "xyz"))
             near = nearest(inner, nodes.select("node_id", "x", "y", "z", "lethal"), tolerance, left_id="pid", radius=tolerance).filter("NOT r_lethal")
             cand = cand.join(near.select(F.col("l_pid").alias("pid"), F.lit(True).alias("free")), "pid", "left")
@@ -161,9 +162,17 @@ def shortcut(path: DataFrame, jumps: DataFrame) -> DataFrame:
     far = jumps.groupBy("path_id", "i").agg(F.max("j").alias("j"))
     ends = path.groupBy("path_id").agg(F.max("seq").alias("last"))
     nxt = path.select("path_id", F.col("seq").alias("i")).join(far, ["path_id", "i"], "left").join(ends, "path_id").filter("i < last").select("path_id", "i", F.coalesce("j", F.col("i") + 1).cast("long").alias("j"))
-    # the walk is sequential within a path, and a path's jumps are a short list
-    table = nxt.groupBy("path_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("i").cast("long"), "j")))).alias("to"), F.max("j").alias("last"))
-    seen = table.select("path_id", F.explode(F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("last")), F.array(F.lit(0).cast("long")), lambda acc, _: F.when(F.element_at(acc, -1) < F.col("last"), F.concat(acc, F.array(F.element_at(F.col("to"), F.element_at(acc, -1))))).otherwise(acc))).alias("seq"))
+
+    def walk(steps: pd.DataFrame) -> pd.DataFrame:
+        """The rows visited from 0, in one pass over a path's steps."""
+        to, at, out = dict(zip(steps.i.tolist(), steps.j.tolist(), strict=True)), 0, [0]
+        while at in to:
+            at = to[at]
+            out.append(at)
+        return pd.DataFrame({"path_id": steps.path_id.iloc[0], "seq": out})
+
+    kind = path.schema["path_id"].dataType.simpleString()
+    seen = nxt.select("path_id", F.col("i").cast("long").alias("i"), "j").groupBy("path_id").applyInPandas(walk, f"path_id {kind}, seq long")
     alone = ends.filter("last = 0").select("path_id", F.lit(0).cast("long").alias("seq"))
     kept = path.withColumn("seq", F.col("seq").cast("long")).join(seen.union(alone), ["path_id", "seq"], "left_semi")
     return kept.select("path_id", (F.row_number().over(along()) - 1).cast("long").alias("seq"), "x", "y", "z")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import time
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from terrafold.config import Config
 from terrafold.operators import navgraph, paths, surface
 from terrafold.operators import trajectory as tr
-from terrafold.store import stored
+from terrafold.store import drop_stored, scope, stored
 
 POINT = "struct<x:double,y:double,z:double>"
 PARTS = ("nodes", "obstacles", "edges")
@@ -27,6 +28,29 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+class Plans(tuple):
+    """(path, summary), and ``raw``: the nodes that the search went over (query_id, seq, node_id, x, y, z).
+
+    All three read tables that :meth:`drop` deletes; those left are deleted when the process ends.
+    """
+
+    raw: DataFrame
+    held: list[DataFrame]
+
+    def __new__(cls, path: DataFrame, summary: DataFrame, raw: DataFrame, held: list[DataFrame]) -> Plans:
+        self = super().__new__(cls, (path, summary))
+        self.raw, self.held = raw, held
+        return self
+
+    def drop(self) -> None:
+        while self.held:
+            drop_stored(self.held.pop())
+
+
+#: The search backend of each setting; the compiled kernels that the names stand for elsewhere give the same results.
+BACKENDS = {"auto": "auto", "kernel": "kernel", "python": "kernel", "numba": "kernel", "scipy": "kernel", "relaxation": "relaxation"}
+
+
 @dataclass
 class TerrainMap:
     """Nodes, obstacles and edges of a cloud, with the plans over them."""
@@ -39,6 +63,11 @@ class TerrainMap:
     build_time: float = 0.0
     marks: DataFrame | None = None
 
+    @cached_property
+    def graph(self) -> paths.Graph:
+        """The graph for searches; its arrays are fetched and broadcast once."""
+        return paths.Graph(self.nodes, self.edges)
+
     @classmethod
     def build(cls, points: DataFrame, config: Config | None = None) -> TerrainMap:
         cfg, began = config or Config(), time.time()
@@ -46,7 +75,7 @@ class TerrainMap:
         edges, nodes = navgraph.build_graph(nodes, cfg)
         out = cls(nodes, obstacles, edges, cfg, points.count())
         if cfg.alt_landmarks > 0:
-            out.marks = paths.landmarks(edges, nodes, cfg.alt_landmarks)
+            out.marks = paths.landmarks(edges, nodes, cfg.alt_landmarks, out.graph)
         out.build_time = time.time() - began
         return out
 
@@ -69,7 +98,7 @@ class TerrainMap:
             return None
         out = cls(*(read_map_part(spark, folder, p) for p in PARTS), config, mark["cloud_points"])
         if config.alt_landmarks > 0:
-            out.marks = paths.landmarks(out.edges, out.nodes, config.alt_landmarks)
+            out.marks = paths.landmarks(out.edges, out.nodes, config.alt_landmarks, out.graph)
         return out
 
     @classmethod
@@ -102,35 +131,39 @@ class TerrainMap:
     def search(self, snapped: DataFrame, weight: float | None = None) -> DataFrame:
         cfg = self.config
         w = cfg.heuristic_weight if weight is None else weight
-        return paths.shortest_paths(self.nodes, self.edges, snapped, w, cfg.bidirectional and self.marks is None, self.marks, cfg.prune_components, cfg.max_expansions)
+        two_sided = cfg.bidirectional and self.marks is None
+        return paths.shortest_paths(self.nodes, self.edges, snapped, w, two_sided, self.marks, cfg.prune_components, cfg.max_expansions, BACKENDS[cfg.search_backend], self.graph)
 
-    def make_plans(self, queries: DataFrame, weight: float | None = None) -> tuple[DataFrame, DataFrame]:
+    def make_plans(self, queries: DataFrame, weight: float | None = None) -> Plans:
         """(path, summary) for queries (query_id, start, goal structs).
 
         path: query_id, seq, x, y, z, yaw, nx, ny, nz. summary: a row for each query with success, message,
-        length, climb, cost, expanded, n_poses; failures have no path rows and an infinite cost. Paths begin at the
-        nodes that start and goal snap to.
+        length, climb, cost, expanded, n_poses, and planning_time: the seconds that all queries together took. Failures have no
+        path rows and an infinite cost. Paths begin at the nodes that start and goal snap to.
         """
-        cfg = self.config
-        found = stored(self.search(self.snapped(queries), weight), "found")
-        good = found.filter("success").select(F.col("query_id").alias("path_id"), F.posexplode("path").alias("seq", "node_id"))
-        raw = stored(good.join(self.nodes.select("node_id", "x", "y", "z"), "node_id").select("path_id", F.col("seq").cast("long").alias("seq"), "x", "y", "z"), "raw")
-        line = raw
-        if cfg.shortcut:
-            line = stored(tr.shortcut(raw, tr.feasible_jumps(raw, self.nodes, cfg)), "pulled")
-        line = stored(tr.resample(line, cfg.path_resolution), "resampled")
-        if cfg.smooth_iterations > 0:
-            line = tr.smooth(line, cfg.smooth_iterations, cfg.smooth_weight_data, cfg.smooth_weight_smooth, self.nodes, max(1.5 * cfg.voxel_size, cfg.max_step))
-        line = tr.project(line, self.nodes, 2 * cfg.voxel_size)
-        line = stored(tr.surface_normals(tr.yaws(line), self.nodes, 2 * cfg.voxel_size), "line")
+        cfg, began = self.config, time.time()
+        with scope() as keep:
+            found = stored(self.search(self.snapped(queries), weight), "found")
+            good = found.filter("success").select(F.col("query_id").alias("path_id"), F.posexplode("path").alias("seq", "node_id"))
+            raw = stored(good.join(self.nodes.select("node_id", "x", "y", "z"), "node_id").select("path_id", F.col("seq").cast("long").alias("seq"), "node_id", "x", "y", "z"), "raw")
+            line = raw.drop("node_id")
+            if cfg.shortcut:
+                line = tr.shortcut(line, tr.feasible_jumps(line, self.nodes, cfg))
+            line = stored(tr.resample(line, cfg.path_resolution), "resampled")
+            if cfg.smooth_iterations > 0:
+                line = tr.smooth(line, cfg.smooth_iterations, cfg.smooth_weight_data, cfg.smooth_weight_smooth, self.nodes, max(1.5 * cfg.voxel_size, cfg.max_step))
+            line = tr.project(line, self.nodes, 2 * cfg.voxel_size)
+            line = stored(tr.surface_normals(tr.yaws(line), self.nodes, 2 * cfg.voxel_size), "line")
+            keep += [found, raw, line]
         path = line.select(F.col("path_id").alias("query_id"), "seq", "x", "y", "z", "yaw", "nx", "ny", "nz")
         m = tr.metrics(line).withColumnRenamed("path_id", "query_id")
         message = F.when(F.col("start_id").isNull(), f"no free node within {cfg.snap_radius} m of the start").when(F.col("goal_id").isNull(), f"no free node within {cfg.snap_radius} m of the goal").otherwise(F.col("reason"))
         zero = lambda c, t: F.coalesce(F.col(c), F.lit(0).cast(t)).alias(c)
-        summary = found.join(m, "query_id", "left").select("query_id", "success", message.alias("message"), zero("length", "double"), zero("climb", "double"), "cost", "expanded", zero("n_poses", "long"))
-        return path, summary
+        took = F.lit(round(time.time() - began, 3)).alias("planning_time")
+        summary = found.join(m, "query_id", "left").select("query_id", "success", message.alias("message"), zero("length", "double"), zero("climb", "double"), "cost", "expanded", zero("n_poses", "long"), took)
+        return Plans(path, summary, raw.withColumnRenamed("path_id", "query_id"), keep)
 
-    def plan_through(self, waypoints: DataFrame, weight: float | None = None) -> tuple[DataFrame, DataFrame]:
+    def plan_through(self, waypoints: DataFrame, weight: float | None = None) -> Plans:
         """Plans between consecutive rows of waypoints (route_id, seq, x, y, z): query_id numbers the legs of all routes."""
         w = Window.partitionBy("route_id").orderBy("seq")
         here = F.struct(*(F.col(c).cast("double").alias(c) for c in "xyz"))
@@ -153,4 +186,4 @@ def queries_frame(spark: SparkSession, pairs: list[tuple[tuple[float, float, flo
     return spark.createDataFrame(rows, f"query_id long, start {POINT}, goal {POINT}")
 
 
-__all__ = ["TerrainMap", "exists", "queries_frame"]
+__all__ = ["Plans", "TerrainMap", "exists", "queries_frame"]

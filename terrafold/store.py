@@ -7,12 +7,17 @@ executor costs a re-read, never a recomputation, and no file is kept on one mach
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_tables: list[tuple[SparkSession, str]] = []
+#: Paths made so far, oldest first, with their sessions.
+_tables: dict[str, SparkSession] = {}
+_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,7 +39,7 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def _sweep() -> None:
     while _tables:
-        spark, path = _tables.pop()
+        path, spark = _tables.popitem()
         try:
             delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone
@@ -46,7 +51,9 @@ atexit.register(_sweep)
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/terrafold-{name}-{uuid.uuid4().hex}"
-    _tables.append((spark, path))
+    _tables[path] = spark
+    if (made := _scope.get()) is not None:
+        made.append(path)
     return path
 
 
@@ -65,3 +72,22 @@ def drop_stored(df: DataFrame | None) -> None:
     path = getattr(df, "_terrafold_path", None)
     if path:
         delete(df.sparkSession, path)
+        _tables.pop(path, None)
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[list[DataFrame]]:
+    """Tables that this thread makes inside are deleted at its end, but for those put into the list it gives."""
+    made, keep = [], []
+    token = _scope.set(made)
+    try:
+        yield keep
+    finally:
+        _scope.reset(token)
+        kept = {getattr(df, "_terrafold_path", None) for df in keep}
+        for path in made:
+            if path in kept:
+                if (outer := _scope.get()) is not None:
+                    outer.append(path)
+            elif path in _tables:
+                delete(_tables.pop(path), path)
