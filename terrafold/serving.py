@@ -1,82 +1,129 @@
-"""A small planning service: the current pose, goals, plans; and its client."""
+"""A small planning service: the current pose, goals, plans; and its client.
+
+Routes: GET /, /stats and /pose; POST /goal, /plan and /pose. A goal or pose is a JSON list [x, y, z] under its name, or the
+members x, y and z (/plan wants the list); "start" may be given with a goal.
+"""
 
 from __future__ import annotations
 
 import json
 import threading
 import urllib.request
+from collections.abc import Callable
+from dataclasses import dataclass
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from typing import NamedTuple
 
 from pyspark.sql import SparkSession
 
-from terrafold.plans.planner import TerrainMap, queries_frame
+from terrafold.plans.planner import Plans, TerrainMap, queries_frame
 from terrafold.sources import sinks
 
 
+class Point(NamedTuple):
+    x: float
+    y: float
+    z: float
+
+    @classmethod
+    def of(cls, value: object) -> Point:
+        if not isinstance(value, list | tuple) or len(value) != 3:
+            raise ValueError("a point is three numbers")
+        return cls(*map(float, value))
+
+
+@dataclass(frozen=True)
+class Request:
+    """What a body asks for: a point under ``name`` (or spread over x, y, z, if ``spread``), and a start."""
+
+    point: Point
+    start: Point | None = None
+
+    @classmethod
+    def read(cls, body: object, name: str, spread: bool = True) -> Request:
+        if not isinstance(body, dict):
+            raise ValueError("the body is a JSON object")
+        value = body.get(name)
+        if value is None and spread:
+            value = [body[c] for c in Point._fields if c in body]
+        start = body.get("start")
+        return cls(Point.of(value), None if start is None else Point.of(start))
+
+
 class Service:
     """Answers goals from the robot's pose; a reached goal becomes the pose. One request plans at a time."""
 
     def __init__(self, spark: SparkSession, terrain: TerrainMap, pose: tuple[float, float, float] = (0.0, 0.0, 0.0), name: str = "map") -> None:
-        self.spark, self.terrain, self.pose, self.name = spark, terrain, tuple(map(float, pose)), name
+        self.spark, self.terrain, self.pose, self.name = spark, terrain, Point.of(pose), name
         self.lock = threading.Lock()
-        self.last = None
-
-    def set_pose(self, pose: list[float]) -> None:
+        self.last: Plans | None = None
+        self.routes: dict[tuple[str, str], Callable[[object], object]] = {
+            ("GET", "/"): lambda _: self.page(),
+            ("GET", "/index.html"): lambda _: self.page(),
+            ("GET", "/stats"): lambda _: self.terrain.stats(),
+            ("GET", "/pose"): lambda _: {"pose": [*self.pose]},
+            ("POST", "/goal"): lambda body: self.goal(Request.read(body, "goal")),
+            ("POST", "/plan"): lambda body: self.goal(Request.read(body, "goal", spread=False)),
+            ("POST", "/pose"): lambda body: self.move(Request.read(body, "pose")),
+        }
+
+    def move(self, request: Request) -> dict:
         with self.lock:
-            self.pose = tuple(map(float, pose))
+            self.pose = request.point
+            return {"ok": True, "pose": [*self.pose]}
 
-    def goal(self, goal: list[float], start: list[float] | None = None) -> dict:
+    def goal(self, request: Request) -> dict:
         with self.lock:
-            begin = self.pose if start is None else tuple(map(float, start))
-            path, summary = self.terrain.make_plans(queries_frame(self.spark, [(begin, tuple(goal))]))
-            out = json.loads(sinks.payloads(path, summary).first()["payload"])
+            plans = self.terrain.make_plans(queries_frame(self.spark, [(request.start or self.pose, request.point)]))
+            out = json.loads(sinks.payloads(*plans).first()["payload"])
+            # tables of plans that nothing shows any more go
+            old = plans
             if out["success"]:
-                self.last = path
-                end = out["path"]
-                self.pose = (end["x"][-1], end["y"][-1], end["z"][-1])
+                old, self.last = self.last, plans
+                self.pose = Point(*(out["path"][c][-1] for c in Point._fields))
+            if old is not None:
+                old.drop()
             return out
 
     def page(self) -> str:
         t = self.terrain
-        return sinks.html_page(sinks.scene_data(t.nodes, t.obstacles, t.config.lethal_cost, self.last, self.name))
-
-    def answer(self, method: str, path: str, body: dict) -> tuple[int, object]:
-        if method == "GET":
-            if path in ("/", "/index.html"):
-                return 200, self.page()
-            if path == "/stats":
-                return 200, self.terrain.stats()
-            if path == "/pose":
-                return 200, {"pose": list(self.pose)}
-        elif path in ("/goal", "/plan"):
-            return 200, self.goal(body["goal"] if "goal" in body or path == "/plan" else [body["x"], body["y"], body["z"]], body.get("start"))
-        elif path == "/pose":
-            self.set_pose(body.get("pose") or [body["x"], body["y"], body["z"]])
-            return 200, {"ok": True, "pose": list(self.pose)}
-        return 404, {"error": "not found"}
+        with self.lock:
+            return sinks.html_page(sinks.scene_data(t.nodes, t.obstacles, t.config.lethal_cost, self.last and self.last[0], self.name), live=True)
+
+    def answer(self, method: str, path: str, body: object) -> tuple[int, object]:
+        """Status and content. A wrong request is told to its sender with 400."""
+        route = self.routes.get((method, path))
+        if route is None:
+            return 404, {"error": "not found"}
+        try:
+            return 200, route(body)
+        except Exception as e:  # noqa: BLE001
+            return 400, {"success": False, "message": f"{type(e).__name__}: {e}"}
 
 
 def server(service: Service, host: str = "127.0.0.1", port: int = 8765) -> ThreadingHTTPServer:
     class Handler(BaseHTTPRequestHandler):
-        def _do(self, method: str) -> None:
+        def handled(self) -> None:
+            raw = self.rfile.read(int(self.headers.get("Content-Length") or 0))
             try:
-                size = int(self.headers.get("Content-Length") or 0)
-                code, out = service.answer(method, self.path, json.loads(self.rfile.read(size) or b"{}") if size else {})
-            except Exception as e:  # noqa: BLE001  whatever is wrong with a request is told to its sender
-                code, out = 400, {"success": False, "message": f"{type(e).__name__}: {e}"}
-            data = out.encode() if isinstance(out, str) else json.dumps(out).encode()
+                code, out = service.answer(self.command, self.path, json.loads(raw) if raw else {})
+            except ValueError as e:
+                code, out = 400, {"success": False, "message": f"not JSON: {e}"}
+            self.reply(code, out, {} if isinstance(out, str) else {"Content-Type": "application/json"})
+
+        def reply(self, code: int, out: object, headers: dict[str, str]) -> None:
+            data = b"" if out is None else out.encode() if isinstance(out, str) else json.dumps(out).encode()
             self.send_response(code)
-            self.send_header("Content-Type", "text/html; charset=utf-8" if isinstance(out, str) else "application/json")
-            self.send_header("Content-Length", str(len(data)))
-            self.send_header("Access-Control-Allow-Origin", "*")
+            for name, value in ({"Content-Type": "text/html; charset=utf-8", "Content-Length": str(len(data)), "Access-Control-Allow-Origin": "*"} | headers).items():
+                self.send_header(name, value)
             self.end_headers()
             self.wfile.write(data)
 
-        def do_GET(self) -> None:  # noqa: N802
-            self._do("GET")
+        def preflight(self) -> None:
+            self.reply(204, None, {"Access-Control-Allow-Methods": "GET, POST, OPTIONS", "Access-Control-Allow-Headers": "Content-Type"})
 
-        def do_POST(self) -> None:  # noqa: N802
-            self._do("POST")
+        do_GET = do_POST = handled
+        do_OPTIONS = preflight
 
         def log_message(self, *_: object) -> None:
             return
@@ -84,8 +131,15 @@ def server(service: Service, host: str = "127.0.0.1", port: int = 8765) -> Threa
     return ThreadingHTTPServer((host, port), Handler)
 
 
+def ask(path: str, body: dict | None = None, host: str = "127.0.0.1", port: int = 8765, timeout: float = 300.0) -> dict:
+    """What a service answers to ``body`` (without one, to a GET); errors of the service come back as its messages."""
+    data = None if body is None else json.dumps(body).encode()
+    try:
+        with urllib.request.urlopen(urllib.request.Request(f"http://{host}:{port}{path}", data), timeout=timeout) as r:
+            return json.load(r)
+    except urllib.request.HTTPError as e:
+        return json.load(e)
+
+
 def publish_goal(x: float, y: float, z: float, host: str = "127.0.0.1", port: int = 8765, start: list[float] | None = None) -> dict:
-    body = {"goal": [x, y, z]} | ({"start": start} if start else {})
-    req = urllib.request.Request(f"http://{host}:{port}/goal", json.dumps(body).encode(), {"Content-Type": "application/json"})
-    with urllib.request.urlopen(req, timeout=300) as r:
-        return json.loads(r.read())
+    return ask("/goal", {"goal": Point(x, y, z)} | ({} if start is None else {"start": Point.of(start)}), host, port)

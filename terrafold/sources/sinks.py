@@ -34,13 +34,14 @@ def payloads(path: DataFrame, summary: DataFrame) -> DataFrame:
     shape = F.struct(*(F.coalesce(c, none).alias(c) for c in ("x", "y", "z", "yaw")))
     cost = F.when(F.col("cost") < float("inf"), F.col("cost"))
     df = summary.join(cols, "query_id", "left")
-    return df.select("query_id", F.to_json(F.struct("success", "message", "length", "climb", cost.alias("cost"), "expanded", shape.alias("path")), {"ignoreNullFields": "false"}).alias("payload"))
+    took = [F.round("planning_time", 4).alias("planning_time")] if "planning_time" in summary.columns else []
+    return df.select("query_id", F.to_json(F.struct("success", "message", "length", "climb", cost.alias("cost"), "expanded", *took, shape.alias("path")), {"ignoreNullFields": "false"}).alias("payload"))
 
 
 def json_documents(path: DataFrame, summary: DataFrame) -> DataFrame:
     """query_id, document: the summary with a list of poses."""
     poses = path.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "x", "y", "z", "yaw"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"), p["yaw"].alias("yaw"))).alias("poses"))
-    return summary.join(poses, "query_id", "left").select("query_id", F.to_json(F.struct("success", "message", "length", "climb", "cost", "expanded", "poses")).alias("document"))
+    return summary.join(poses, "query_id", "left").select("query_id", F.to_json(F.struct("success", "message", "length", "climb", "cost", "expanded", *(c for c in ("planning_time",) if c in summary.columns), "poses")).alias("document"))
 
 
 def sampled(df: DataFrame, key: str, limit: int, seed: int = 0) -> DataFrame:
@@ -69,16 +70,23 @@ _PAGE = """<!doctype html><meta charset="utf-8"><title>%(title)s</title>
 <style>body{margin:0;background:#14171c;color:#dde;font:14px sans-serif}canvas{display:block;width:100vw;height:100vh}#t{position:fixed;left:1em;top:1em}</style>
 <div id="t">%(title)s</div><canvas id="c"></canvas><script>
 const S=%(data)s, bytes=s=>Uint8Array.from(atob(s),c=>c.charCodeAt(0)), floats=s=>new Float32Array(bytes(s).buffer);
-const P=floats(S.pos), C=bytes(S.col), L=S.path?floats(S.path):[], cv=document.getElementById('c'), g=cv.getContext('2d');
-let yaw=.7, tilt=.9, zoom=1, from=null;
+const P=floats(S.pos), C=bytes(S.col), cv=document.getElementById('c'), g=cv.getContext('2d');
+let L=S.path?[...floats(S.path)]:[], yaw=.7, tilt=.9, zoom=1, from=null;
 function at(x,y,z,w,h){x-=S.center[0];y-=S.center[1];z-=S.center[2];const a=Math.cos(yaw)*x-Math.sin(yaw)*y,b=Math.sin(yaw)*x+Math.cos(yaw)*y,k=zoom*.9*Math.min(w,h)/S.extent;return[w/2+a*k,h/2-(b*Math.cos(tilt)+z*Math.sin(tilt))*k]}
 function draw(){const w=cv.width=innerWidth,h=cv.height=innerHeight;for(let i=0;i<S.n_total;i++){const[a,b]=at(P[3*i],P[3*i+1],P[3*i+2],w,h);g.fillStyle=`rgb(${C[3*i]},${C[3*i+1]},${C[3*i+2]})`;g.fillRect(a,b,2,2)}
 if(L.length){g.strokeStyle='#4df';g.lineWidth=3;g.beginPath();for(let i=0;i<L.length;i+=3){const q=at(L[i],L[i+1],L[i+2]+.1,w,h);i?g.lineTo(...q):g.moveTo(...q)}g.stroke()}}
-cv.onmousedown=e=>from=[e.x,e.y];onmouseup=()=>from=null;onmousemove=e=>{if(from){yaw+=(e.x-from[0])/200;tilt+=(e.y-from[1])/200;from=[e.x,e.y];draw()}};
+// a click takes the nearest shown ground point as goal (with Shift: as start) and asks the service for a plan
+let start=null;const tell=t=>document.getElementById('t').textContent=t;
+function picked(e){let best=-1,least=400;for(let i=0;i<S.n_ground;i++){const[a,b]=at(P[3*i],P[3*i+1],P[3*i+2],cv.width,cv.height),d=(a-e.x)**2+(b-e.y)**2;if(d<least){least=d;best=i}}return best<0?null:[P[3*best],P[3*best+1],P[3*best+2]]}
+async function ask(e){const p=picked(e);if(!p)return;if(e.shiftKey){start=p;return tell('start '+p.map(v=>v.toFixed(2)))}
+const r=await(await fetch('/goal',{method:'POST',body:JSON.stringify(start?{goal:p,start}:{goal:p})})).json();tell(r.success?`length ${r.length.toFixed(2)} m`:r.message);
+if(r.success){L=[];r.path.x.forEach((x,i)=>L.push(x,r.path.y[i],r.path.z[i]));g.clearRect(0,0,cv.width,cv.height);draw()}}
+let down=null;cv.onmousedown=e=>{from=down=[e.x,e.y]};cv.onclick=e=>{if(S.live&&Math.hypot(e.x-down[0],e.y-down[1])<4)ask(e)};onmouseup=()=>from=null;onmousemove=e=>{if(from){yaw+=(e.x-from[0])/200;tilt+=(e.y-from[1])/200;from=[e.x,e.y];draw()}};
 cv.onwheel=e=>{zoom*=e.deltaY<0?1.1:.9;draw()};onresize=draw;draw();</script>"""
 
 
-def html_page(scene: dict) -> str:
-    """A page of its own, without outside parts."""
+def html_page(scene: dict, live: bool = False) -> str:
+    """A page of its own, without outside parts; ``live`` pages ask the service they come from for plans to clicked points."""
+    scene = scene | {"live": live}
     title = str(scene["map_name"]).replace("&", "&amp;").replace("<", "&lt;")
     return _PAGE % {"title": title, "data": json.dumps(scene).replace("</", "<\\/")}
