@@ -48,10 +48,16 @@ def with_poses(goals: DataFrame) -> DataFrame:
 
 
 def serve_goals(goals: DataFrame, terrain: TerrainMap, sink: Callable[[DataFrame, DataFrame, int], None], checkpoint: str):  # noqa: ANN201
-    """Starts a query that plans each micro-batch of (query_id, start, goal) against a fixed map and hands (path, summary, batch) on."""
+    """Starts a query that plans each micro-batch of (query_id, start, goal) against a fixed map and hands (path, summary, batch) on.
+
+    The two read tables that go when ``sink`` returns.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
-        path, summary = terrain.make_plans(df.select("query_id", "start", "goal"))
-        sink(path, summary, number)
+        plans = terrain.make_plans(df.select("query_id", "start", "goal"))
+        try:
+            sink(*plans, number)
+        finally:
+            plans.drop()
 
     return goals.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
