@@ -173,7 +173,7 @@ def cost_color(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("node_id", g.cost_rgb(F.col("cost").cast("double"), F.col("lethal"), CFG.lethal_cost).alias("c")).select("node_id", "c.r", "c.g")
 
 
-@query()
+@query(M.upto("ground", "SELECT node_id, x, y, z FROM ground ORDER BY sha1(node_id::VARCHAR || ':0'), node_id LIMIT 200"))
 def sample_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.sampled(terrain(spark, sf_dir).nodes.select("node_id", "x", "y", "z"), "node_id", 200)
 
@@ -434,6 +434,22 @@ def quaternions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("path_id", "seq", F.round(sign * F.col("qw"), 6).alias("qw"), F.round(sign * F.col("qz"), 6).alias("qz"))
 
 
+_TILT = "n AS (SELECT event_id, (event_id % 628) / 100::DOUBLE - 3.14::DOUBLE AS yaw, (event_id * 37 % 199 - 99) / 100::DOUBLE AS nx, (event_id * 53 % 211 - 105) / 100::DOUBLE AS ny, (event_id * 71 % 223 - 111) / 100::DOUBLE AS nz FROM events), u AS (SELECT event_id, yaw, nx / s AS nx, ny / s AS ny, nz / s AS nz FROM (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS s FROM n) WHERE s > 0.01), f AS (SELECT *, cos(yaw) - al * nx AS fx, sin(yaw) - al * ny AS fy, -al * nz AS fz FROM (SELECT *, cos(yaw) * nx + sin(yaw) * ny AS al FROM u))"
+
+
+@query(f"WITH {_TILT} SELECT event_id, " + ", ".join(f"round({c}, 5) + 0.0 AS {n}" for c, n in (("nx", "ux"), ("ny", "uy"), ("nz", "uz"), ("fx / s", "fx"), ("fy / s", "fy"), ("fz / s", "fz"))) + " FROM (SELECT *, sqrt(fx * fx + fy * fy + fz * fz) AS s FROM f) WHERE s > 0.01")
+def quaternions_tilted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The up and front axes that headings on tilted normals turn to, from the quaternions; SQL has them from the normals."""
+    i = F.col("event_id")
+    n = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", ((i % 628) / 100.0 - 3.14).alias("yaw"), ((i * 37 % 199 - 99) / 100.0).alias("nx"), ((i * 53 % 211 - 105) / 100.0).alias("ny"), ((i * 71 % 223 - 111) / 100.0).alias("nz"))
+    size = F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2)
+    along = (F.cos("yaw") * F.col("nx") + F.sin("yaw") * F.col("ny")) / size  # of the front on the normal
+    q = tr.quaternions(n.filter(size > 0.01).filter(1 - along**2 > 0.0001))
+    x, y, z, w = (F.col(f"q{c}") for c in "xyzw")
+    axes = {"ux": 2 * (x * z + w * y), "uy": 2 * (y * z - w * x), "uz": 1 - 2 * (x * x + y * y), "fx": 1 - 2 * (y * y + z * z), "fy": 2 * (x * y + w * z), "fz": 2 * (x * z - w * y)}
+    return q.select("event_id", *((F.round(c, 5) + 0.0).alias(n) for n, c in axes.items()))
+
+
 @query(_t("SELECT path_id, seq, printf('%.6f,%.6f,%.6f,%.6f', x, y, z, yaw) AS line FROM yaw", _YAW))
 def csv_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.csv_lines(tr.yaws(tracks(spark, sf_dir)).withColumnRenamed("path_id", "query_id")).withColumnRenamed("query_id", "path_id")
@@ -473,6 +489,21 @@ def _routes(t: TerrainMap) -> DataFrame:
     return t.nodes.sparkSession.createDataFrame([(q, tuple(a), tuple(b)) for q, a, b in rows], f"query_id long, start {s}, goal {s}")
 
 
+_CORNERS = ", ".join(f"arg_min({{'x': x, 'y': y, 'z': z}}, {{'k': x * {a} + y * {b}, 'i': node_id}}) AS c{i}" for i, (a, b) in enumerate(((1, 1), (-1, -1), (1, -1), (-1, 1))))
+_ENDS = " UNION ALL ".join(f"SELECT {i} AS point_id, c{i}.x AS x, c{i}.y AS y, c{i}.z AS z FROM corner" for i in range(4))
+_SNAPPED = f"snapped AS MATERIALIZED (SELECT point_id, min({{'score': d + 0.01::DOUBLE * cost::DOUBLE, 'd': d, 'node_id': node_id}}).node_id AS node_id FROM (SELECT point_id, b.node_id, cost, lethal, {M.dist('a', 'b')} AS d, row_number() OVER (PARTITION BY point_id ORDER BY {M.dist('a', 'b')}, b.node_id) AS rk FROM ends_ a, ground b WHERE {M.dist('a', 'b')} < {CFG.snap_radius}) WHERE NOT lethal AND rk <= 64 GROUP BY 1)"
+_END = lambda i: f"SELECT node_id FROM snapped WHERE point_id = {i}"
+_LEG = lambda q, m, i: f"SELECT {q} AS query_id, count(*) > 0 AS success, round(max(dist), 4) AS cost FROM {m} WHERE node = ({_END(i)})"
+
+
+@query(M.upto("comp", f"{_LEG(0, 'm0', 1)} UNION ALL {_LEG(1, 'm2', 3)} UNION ALL {_LEG(2, 'm0', 2)} UNION ALL SELECT 3, false, NULL", _BIG, f"corner AS (SELECT {_CORNERS} FROM free JOIN comp USING (node_id) WHERE component = (SELECT component FROM big))", f"ends_ AS MATERIALIZED ({_ENDS})", _SNAPPED, M.sssp("m0", _END(0)), M.sssp("m2", _END(2))))
+def plan_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What whole plans cost: snapping and search of the routes that the other plan queries shape."""
+    t = terrain(spark, sf_dir)
+    got = t.make_plans(_routes(t))[1]
+    return got.select(F.col("query_id").cast("int").alias("query_id"), "success", F.when(F.col("success"), F.round("cost", 4)).alias("cost"))
+
+
 @query()
 def shortcut_farthest(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = terrain(spark, sf_dir)
@@ -551,7 +582,8 @@ def streaming_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     src = f"{sf_dir}/events.parquet"
     rows = spark.readStream.schema(spark.read.parquet(src).schema).parquet(f"{src}*")
-    pts = rows.select("ts", (F.col("user_id") / 10.0).alias("x"), (F.col("value") / 10.0).alias("y"), (F.col("event_id") / 1000.0).alias("z"))
+    utc = F.expr("cast(convert_timezone('UTC', current_timezone(), ts) AS timestamp)").alias("ts")  # the table's times have no zone
+    pts = rows.select(utc, (F.col("user_id") / 10.0).alias("x"), (F.col("value") / 10.0).alias("y"), (F.col("event_id") / 1000.0).alias("z"))
     got = _last_of_each(windowed_voxels(pts, 1.0, "1 day", "10000 days"), ["w", "gx", "gy", "gz"])
     return got.select(F.unix_timestamp("w.start").alias("day"), "gx", "gy", "gz", "n")
 
@@ -570,6 +602,7 @@ def streaming_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(done).drop("batch")
 
 
+@query(M.upto("edge", "SELECT lethal, count(*) AS nodes, count(dist) AS reached, round(max(dist), 4) AS farthest FROM ground LEFT JOIN d ON d.node = ground.node_id GROUP BY lethal", M.sssp("d", _SEED)))
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points to voxels to a graph to distances: what can be reached from the first node, by component."""
     t = terrain(spark, sf_dir)
@@ -577,9 +610,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.nodes.join(d.withColumnRenamed("node", "node_id"), "node_id", "left").groupBy("lethal").agg(F.count(F.lit(1)).alias("nodes"), F.count("dist").alias("reached"), F.round(F.max("dist"), 4).alias("farthest"))
 
 
-_queries["flagship"] = flagship
-
-
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -46,7 +46,7 @@ def json_documents(path: DataFrame, summary: DataFrame) -> DataFrame:
 
 def sampled(df: DataFrame, key: str, limit: int, seed: int = 0) -> DataFrame:
     """At most ``limit`` rows, chosen by a hash of their key."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(limit)
+    return df.orderBy(F.sha1(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(limit)
 
 
 def scene_data(nodes: DataFrame, obstacles: DataFrame, lethal_cost: float, path: DataFrame | None = None, name: str = "map", limit: int = 60_000) -> dict:
