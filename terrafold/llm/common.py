@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,25 +51,30 @@ def split_by_key(df: DataFrame, some: DataFrame, key: str) -> tuple[DataFrame, D
     return marked.filter(F.col(hit).isNull()).select(*names), marked.filter(F.col(hit)).select(*names)
 
 
-def exact_rank(df: DataFrame, group: list[str], key: Column, out: str, rows: int, ties: list[Column] | None = None, extra: DataFrame | None = None) -> DataFrame:
+def exact_rank(df: DataFrame, group: list[str], key: Column, out: str, rows: int, ties: list[Column] | None = None, extra: DataFrame | None = None, buckets: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Adds ``out``: the 0-based rank of each row in its ``group``, ordered by a hash bucket, ``key`` and ``ties``.
 
     A plain window would put a whole group into one task. Here ``key`` (a long that is spread
     evenly, such as a hash) is cut into buckets sized by ``rows``; each bucket is ranked alone and
     shifted by the sizes of the buckets before it. The order is total as far as ``key`` and
     ``ties`` are. ``extra`` (the group columns and more) adds its other columns to each row by way
-    of the small table of buckets, so a hot group isn't joined as one key. Null groups count as equal.
+    of the small table of buckets, so a hot group isn't joined as one key. Null groups count as equal. ``buckets`` may add columns to
+    that table itself (rank_group, rank_bucket, rank_n and rank_base, the names prefixed where ``df`` has them); rows get those too.
     """
-    buckets = RANK_BUCKETS * (1 + -(-rows // 1_000_000))
+    count = RANK_BUCKETS * (1 + -(-rows // 1_000_000))
     g, b, n, base, local = (free_name(df, x) for x in ("rank_group", "rank_bucket", "rank_n", "rank_base", "rank_local"))
     whole = F.struct(*(F.col(f"`{c}`").alias(f"g{i}") for i, c in enumerate(group))) if group else F.struct(F.lit(0).alias("g0"))
-    cut = df.withColumn(g, whole).withColumn(b, (F.shiftrightunsigned(key, 40) % F.lit(buckets)).cast("int"))
+    cut = df.withColumn(g, whole).withColumn(b, (F.shiftrightunsigned(key, 40) % F.lit(count)).cast("int"))
     sizes = cut.groupBy(g, b).agg(F.count(F.lit(1)).alias(n))
     before = Window.partitionBy(g).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select(g, b, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base))
+    bases = sizes.select(g, b, n, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base))
     more = []
+    if buckets is not None:
+        bases = buckets(bases)
+        more = [c for c in bases.columns if c not in (g, b, n, base)]
+    bases = bases.drop(n)
     if extra is not None:
-        more = [c for c in extra.columns if c not in group]
+        more += [c for c in extra.columns if c not in group]
         bases = bases.join(extra.select(whole.alias(g), *more), g, "left")
     within = Window.partitionBy(g, b).orderBy(key, *(ties or []))
     joined = cut.withColumn(local, F.row_number().over(within)).join(bases, [g, b])

@@ -179,27 +179,35 @@ def _mixed(docs: DataFrame, weights: dict[str | None, float] | None, source: str
         at += sizes[s]
     head = spark.createDataFrame(rows, "s string, i long, n long, owed long, share double, at long")
 
-    total = sum(sizes.values())
     hashed = F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind))
     own = F.col(f"`{doc_id}`")
     mark = docs.withColumn(tie, hashed).withColumn(key, F.when(own.isNull(), F.col(tie)).otherwise(F.xxhash64(own)))
-    ranked = exact_rank(mark, [source], F.col(key), rank, total, [own, F.col(tie)])
-    src = F.col(f"`{source}`")
-    a = ranked.join(F.broadcast(head), src.eqNullSafe(head["s"]), "left").drop("s")
-    again = F.ceil((F.col("owed") * block - F.col(rank)) / F.col("n")) - 1
-    last = F.greatest(F.lit(0), again).cast("long") if repeat else F.lit(0).cast("long")
-    copies = F.when(F.col("i").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), last))
-    a = a.withColumn("mix_epoch", F.explode(copies))
-    nth = F.col("mix_epoch") * F.col("n") + F.col(rank)
-    j = F.floor(nth / block)
-    a = a.withColumn("b_", j).withColumn("in_", nth % block)
-    b = a.join(plan, (a["i"] == plan["i_"]) & (a["b_"] == plan["j_"]), "left")
-    place_ = F.when(F.col("i").isNotNull(), F.col("t_") * block + F.col("in_")).otherwise(F.col("at") + F.col(rank))
-    return b.select(
+
+    def slots(buckets: DataFrame) -> DataFrame:
+        """``buckets`` (group, bucket, n, base) with their source's row and, in ``plan``, the slots of their blocks by epoch."""
+        at_ = buckets.join(F.broadcast(head), F.col("rank_group.g0").eqNullSafe(head["s"]), "left").drop("s")
+        most = F.greatest(F.lit(1), F.ceil(F.col("owed") * block / F.col("n"))) if repeat else F.lit(1)
+        each = at_.filter("i IS NOT NULL").withColumn("e", F.explode(F.sequence(F.lit(0).cast("long"), most.cast("long") - 1)))
+        first = F.col("e") * F.col("n") + F.col("rank_base")
+        each = each.withColumn("j0", F.floor(first / block)).withColumn("j", F.explode(F.sequence(F.floor(first / block), F.floor((first + F.col("rank_n") - 1) / block))))
+        found = each.join(plan, (F.col("i") == F.col("i_")) & (F.col("j") == F.col("j_")))
+        lists = found.groupBy("rank_group", "rank_bucket", "e", "j0").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "t_"))), lambda x: x["t_"]).alias("t"))
+        whole_ = lists.groupBy("rank_group", "rank_bucket").agg(F.collect_list(F.struct("e", "j0", "t")).alias("plan"))
+        return at_.join(whole_, ["rank_group", "rank_bucket"], "left")
+
+    a = exact_rank(mark, [source], F.col(key), rank, sum(sizes.values()), [own, F.col(tie)], buckets=slots)
+    a = a.withColumn("x_", F.explode_outer("plan")).drop("plan")
+    nth = F.col("x_.e") * F.col("n") + F.col(rank)
+    # every row once, and again while its source is owed blocks
+    a = a.filter(F.col("i").isNull() | (F.col("x_.e") == 0) | (nth < F.col("owed") * block))
+    slot = F.get("x_.t", (F.floor(nth / block) - F.col("x_.j0")).cast("int"))
+    place_ = F.when(F.col("i").isNotNull(), slot * block + nth % block).otherwise(F.col("at") + F.col(rank))
+    a = a.withColumn("mix_position", place_.cast("long"))
+    return a.select(
         *(F.col(f"`{c}`") for c in names),
-        place_.cast("long").alias("mix_position"),
-        F.floor(place_ / block).cast("long").alias("mix_slot"),
-        F.col("mix_epoch"),
+        "mix_position",
+        F.floor(F.col("mix_position") / block).cast("long").alias("mix_slot"),
+        F.coalesce("x_.e", F.lit(0)).cast("long").alias("mix_epoch"),
         F.col("share").alias("mix_target"),
     )
 
