@@ -7,9 +7,11 @@ one order, two sets of similarity 4/5 or more share a member among the first n -
 each. The order starts with members that a sample of the texts doesn't show to be common, so common lines and passages are
 rarely among them. The sample decides the order alone, never the result.
 
-Links: the texts that share a first member are compared with the smallest and the largest of them, and so are the pairs by
-fingerprints; components are built from what is found. Only where a shared member still joins several components are pairs
-listed, between members outside its main component and the others, so a large group of near copies is never expanded.
+Links: among the texts that share a first member, the smallest and the largest are its ends; a text is compared with the two ends
+that it shares most members with, and so are the pairs by fingerprints; components are built from what is found. Only where a
+shared member still joins several components are pairs listed, between texts outside its main component and the others, so a large
+group of near copies is never expanded. A pair is listed only where both have the member early enough for their two sizes: similar
+sets of n and m members share a = ceil(4/9 (n + m)), and then one of the first n - a + 1 and m - a + 1.
 
 Before whole sets are compared, pairs go whose sizes can't fit, and those that share too few first members: with c shared
 ones, the whole sets share c + ceil(4/5 max(n, m)) - 1 at most. All comparisons are exact, on whole sets.
@@ -32,7 +34,7 @@ WORDS, SEED = 5, 42
 #: The least similarity, as a fraction.
 NUM, DEN = 4, 5
 #: Texts of the sample, how many of them have a common member, and common members at most.
-SAMPLE, COMMON, MOST = 4_000, 3, 100_000
+SAMPLE, COMMON, MOST = 16_000, 3, 500_000
 #: Words whose hashes are kept; texts and members that are looked at together.
 CACHE, ROWS, STEP = 50_000, 500, 1 << 15
 _LOWER = bytes(range(256)).lower()
@@ -113,7 +115,7 @@ def _common(src: DataFrame, words: int) -> np.ndarray:
     every = max(1, src.count() // SAMPLE)
     some = src.filter(F.pmod(F.xxhash64("k"), F.lit(every)) == 0).select("t")
     counts = _sets(some, words).select(F.explode("s").alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON)
-    return np.sort(np.array([r["m"] for r in counts.orderBy(F.desc("n"), "m").limit(MOST).collect()], np.int64).view(np.uint64))
+    return np.sort(counts.orderBy(F.desc("n"), "m").limit(MOST).select("m").toPandas().m.to_numpy(np.int64).view(np.uint64))
 
 
 def keyed(src: DataFrame, words: int = WORDS) -> DataFrame:
@@ -141,8 +143,13 @@ def _reaches(c: Column, n: Column, m: Column) -> Column:
     return (c + F.ceil(most * NUM / F.lit(DEN)) - 1) * (NUM + DEN) >= (n + m) * NUM
 
 
+def _early(place: Column, n: Column, m: Column) -> Column:
+    """A member at ``place`` (from 0) of a set of n is among those of which a similar set of m must have one."""
+    return place <= n - F.ceil((n + m) * NUM / F.lit(NUM + DEN))
+
+
 def _nodes(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    return pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
 
 
 def _both(pairs: DataFrame, facts: DataFrame, *columns: str) -> DataFrame:
@@ -172,11 +179,21 @@ class Join:
         return same.union(near)
 
     def met(self) -> DataFrame:
-        """key, sid, lo, hi: first members that two sets or more have, their sets, and the smallest and largest of those."""
-        flat = self.rows.select("sid", F.explode("keys").alias("key"))
+        """key, sid, place, lo, hi: first members that two sets or more have, their sets with the member's place, and the ends of those."""
+        flat = self.rows.select("sid", F.posexplode("keys").alias("place", "key"))
         ends = stored(flat.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo < hi"), "ends")
         return stored(flat.join(ends, "key").distinct(), "met")
 
+    def stars(self, met: DataFrame) -> DataFrame:
+        """a, b: each set with the smallest and with the largest end that it shares most members with."""
+        out = None
+        for end in ("lo", "hi"):
+            shared = met.filter(F.col(end) != F.col("sid")).groupBy("sid", F.col(end).alias("o")).agg(F.count(F.lit(1)).alias("c"))
+            best = shared.groupBy("sid").agg(F.max_by("o", F.struct("c", "o")).alias("o"))
+            pairs = best.select(F.least("sid", "o").alias("a"), F.greatest("sid", "o").alias("b"))
+            out = pairs if out is None else out.union(pairs)
+        return out
+
     def promising(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` whose sizes and shared first members allow the similarity."""
         fit = stored(_both(pairs, self.sizes, "n").filter(_fits(F.col("n_a"), F.col("n_b"))), "fit")
@@ -198,21 +215,19 @@ class Join:
         return out
 
     def across(self, met: DataFrame, comp: DataFrame, seen: DataFrame) -> DataFrame:
-        """a, b, n_a, n_b: promising pairs that share a first member, are of two components and aren't among ``seen``."""
-        member = met.select("key", "sid").join(self.sizes.select("sid", "n"), "sid").join(comp, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+        """a, b: pairs that share a first member, are of two components and aren't among ``seen``."""
+        member = met.select("key", "sid", "place").join(self.sizes.select("sid", "n"), "sid").join(comp, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
         member = stored(member, "members")
         parts = member.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
         open_ = parts.groupBy("key").agg(F.max_by("component", "c").alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
         left = stored(member.join(open_, "key"), "open")
         p, q = left.filter("component <> main").alias("p"), left.alias("q")
         other = (F.col("p.component") != F.col("q.component")) & ((F.col("q.component") == F.col("q.main")) | (F.col("p.sid") < F.col("q.sid")))
-        met_ = p.join(q, (F.col("p.key") == F.col("q.key")) & other & _fits(F.col("p.n"), F.col("q.n")))
-        turned = F.col("p.sid") > F.col("q.sid")
-        ends = [F.when(turned, F.col(f"q.{c}")).otherwise(F.col(f"p.{c}")).alias(f"{x}a") for c, x in (("sid", ""), ("n", "n_"))]
-        ends += [F.when(turned, F.col(f"p.{c}")).otherwise(F.col(f"q.{c}")).alias(f"{x}b") for c, x in (("sid", ""), ("n", "n_"))]
-        counted = met_.select(*ends).groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"))
-        found = counted.filter(_reaches(F.col("c"), F.col("n_a"), F.col("n_b"))).join(seen, ["a", "b"], "left_anti").select("a", "b", "n_a", "n_b")
-        return stored(found, "across")
+        n, m = F.col("p.n"), F.col("q.n")
+        close = _fits(n, m) & _early(F.col("p.place"), n, m) & _early(F.col("q.place"), m, n)
+        met_ = p.join(q, (F.col("p.key") == F.col("q.key")) & other & close)
+        pairs = met_.select(F.least("p.sid", "q.sid").alias("a"), F.greatest("p.sid", "q.sid").alias("b")).distinct()
+        return stored(pairs.join(seen, ["a", "b"], "left_anti"), "across")
 
 
 def components(src: DataFrame, words: int = WORDS, links: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -223,10 +238,9 @@ def components(src: DataFrame, words: int = WORDS, links: Callable[[DataFrame],
     """
     join = Join(src, words, links)
     met = join.met()
-    star = met.select("sid", F.explode(F.array("lo", "hi")).alias("o")).filter("sid <> o").select(F.least("sid", "o").alias("a"), F.greatest("sid", "o").alias("b"))
-    first = join.promising(star.union(join.by_fingerprint()).distinct())
+    first = join.promising(join.stars(met).union(join.by_fingerprint()).distinct())
     found = join.similar(first)
-    more = join.similar(join.across(met, _named(found), first.select("a", "b")))
+    more = join.similar(join.promising(join.across(met, _named(found), first.select("a", "b"))))
     comp = _named(found if more.isEmpty() else stored(found.union(more), "links"))
     return join.rows.select("k", "sid"), comp
 
