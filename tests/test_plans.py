@@ -104,6 +104,35 @@ def test_unreachable_and_missing_nodes(spark, terrain, free_ids):
     assert not got.success.any() and (got.expanded == 0).all() and np.isinf(got.cost).all()
 
 
+def test_both_backends_give_the_same_rows(spark):
+    rng = np.random.default_rng(3)
+    at = [(i, float(i % 6), float(i // 6), 0.0, 1 if i < 30 else 2, False) for i in range(36)]
+    nodes = spark.createDataFrame(at, "node_id long, x double, y double, z double, component long, lethal boolean")
+    pairs = [(i, j) for i in range(36) for j in range(36) if abs(at[i][1] - at[j][1]) + abs(at[i][2] - at[j][2]) == 1 and at[i][4] == at[j][4] and i < j]
+    w = {p: 1 + float(rng.random()) for p in pairs}
+    edges = spark.createDataFrame([(i, j, x) for (i, j), x in w.items()] + [(j, i, x) for (i, j), x in w.items()], "src long, dst long, w float")
+    q = spark.createDataFrame([(0, 0, 29), (1, 5, 5), (2, 0, 33), (3, 0, 99), (4, None, 0), (5, 2, None), (6, 29, 0), (7, 31, 35)], "query_id long, start_id long, goal_id long")
+    run = lambda **how: paths.shortest_paths(nodes, edges, q, **how).toPandas().set_index("query_id").sort_index()
+    for how in ({}, {"prune": False}, {"max_expansions": 3}):
+        a, b = run(backend="kernel", **how), run(backend="relaxation", **how)
+        assert np.allclose(a.cost, b.cost, rtol=1e-6) and a.success.tolist() == b.success.tolist() and a.reason.tolist() == b.reason.tolist()
+        assert [list(p) for p in a.path] == [list(p) for p in b.path]  # weights are random, so best paths are unique
+    assert a.reason[0] == "expansion limit" and not a.success[0]
+    with pytest.raises(ValueError):
+        run(backend="other")
+
+
+def test_expansion_limits(terrain, free_ids):
+    k = terrain.graph.kernel()
+    _, cost, seen, _ = k.best_first(k.index(free_ids[0]), k.index(free_ids[-1]), 1.0, 10**6)
+    assert k.best_first(k.index(free_ids[0]), k.index(free_ids[-1]), 1.0, seen)[1] == cost
+    _, two, both, _ = k.two_sided(k.index(free_ids[0]), k.index(free_ids[-1]), 1.0, 10**6)
+    assert math.isclose(two, cost, rel_tol=1e-6)
+    assert k.two_sided(k.index(free_ids[0]), k.index(free_ids[-1]), 1.0, both // 2) == ([], math.inf, both // 2 + 1, "expansion limit")
+    assert k.two_sided(k.index(free_ids[0]), k.index(free_ids[-1]), 2.0, 10**6)[1] <= 2 * cost + 1e-6
+    assert both <= k.two_sided(k.index(free_ids[0]), k.index(free_ids[-1]), 0.0, 10**6)[2]
+
+
 def test_kernel_and_relaxation_distances(terrain, free_ids):
     a = paths.reachable_set(terrain.edges, free_ids[0], 4.0).toPandas().set_index("node").dist.sort_index()
     seeds = terrain.edges.sparkSession.createDataFrame([(0, free_ids[0])], "source long, node long")
@@ -217,6 +246,47 @@ def test_service_answers(spark, terrain):
     assert "<canvas" in s.answer("GET", "/", {})[1]
 
 
+def test_service_requests(spark, terrain):
+    import threading
+    import urllib.request
+
+    from terrafold import serving, store
+
+    service = serving.Service(spark, terrain, (2.0, 2.0, 0.0))
+    assert service.answer("POST", "/goal", {})[0] == 400 and service.answer("POST", "/plan", {"x": 1, "y": 2, "z": 0})[0] == 400 and service.answer("POST", "/pose", [1])[0] == 400
+    assert service.answer("POST", "/pose", {"pose": [1, 2, 0]}) == (200, {"ok": True, "pose": [1.0, 2.0, 0.0]})
+    http = serving.server(service, port=0)
+    port = http.server_address[1]
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    try:
+        with urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{port}/goal", method="OPTIONS"), timeout=10) as r:
+            assert r.status == 204 and "POST" in r.headers["Access-Control-Allow-Methods"]
+        assert serving.ask("/pose", port=port) == {"pose": [1.0, 2.0, 0.0]} and serving.ask("/none", port=port) == {"error": "not found"}
+        held = len(store._tables)
+        for x in (6.0, 8.0, 10.0):
+            out = serving.publish_goal(x, 2.0, 0.0, port=port)
+            assert out["success"] and out["planning_time"] > 0
+        assert len(store._tables) <= held + 3  # those of the plan that is shown
+    finally:
+        http.shutdown()
+
+
+def test_pcd_chunks_and_split_ascii(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    xyz = rng.normal(0, 9, (1000, 3))
+    xyz[7] = np.nan
+    head = "VERSION .7\nFIELDS x y z big\nSIZE 4 4 4 8\nTYPE F F F U\nCOUNT 1 1 1 1\nWIDTH 1000\nHEIGHT 1\nDATA ascii\n"
+    (tmp_path / "a.pcd").write_text(head + "".join(f"{x:.4f} {y:.4f} {z:.4f} {i}\n" for i, (x, y, z) in enumerate(xyz))[:-1])
+    got = pcd.read(spark, str(tmp_path / "a.pcd"), extra=True, records_=40)
+    assert got.rdd.getNumPartitions() > 10
+    rows = sorted((int(r["big"]), round(r["x"], 3)) for r in got.collect())
+    assert [i for i, _ in rows] == [i for i in range(1000) if i != 7] and all(abs(x - xyz[i, 0]) < 2e-3 for i, x in rows)
+    parts = list(pcd.chunks(str(tmp_path / "a.pcd"), 70, "f8"))
+    assert max(map(len, parts)) <= 70 and np.allclose(np.concatenate(parts), np.delete(xyz, 7, axis=0), atol=1e-4)
+    names = pcd.parse_header(b"# c\r\nFIELDS _ x _ n\r\nSIZE 1 4 1 2\nTYPE U F U I\nCOUNT 2 1 1 2\nWIDTH 2\nHEIGHT 3\nDATA Binary\n\n \n").names
+    assert names == ["__0", "x", "_", "n_0", "n_1"] or len(set(names)) == 6
+
+
 def test_pose_stream(spark, tmp_path):
     from terrafold.streaming.streams import with_poses
 
