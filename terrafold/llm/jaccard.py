@@ -33,8 +33,8 @@ from terrafold.operators.components import connected
 WORDS, SEED = 5, 42
 #: The least similarity, as a fraction.
 NUM, DEN = 4, 5
-#: Texts of the sample, how many of them have a common member, and common members at most.
-SAMPLE, COMMON, MOST = 16_000, 3, 500_000
+#: The sample has one text in SHARE; a common member is in so many of them, and those are so many at most (8 bytes each).
+SHARE, COMMON, MOST = 4, 3, 1_000_000
 #: Words whose hashes are kept; texts and members that are looked at together.
 CACHE, ROWS, STEP = 50_000, 500, 1 << 15
 _LOWER = bytes(range(256)).lower()
@@ -112,8 +112,7 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
 
 def _common(src: DataFrame, words: int) -> np.ndarray:
     """Members that are common in a sample; sorted."""
-    every = max(1, src.count() // SAMPLE)
-    some = src.filter(F.pmod(F.xxhash64("k"), F.lit(every)) == 0).select("t")
+    some = src.filter(F.pmod(F.xxhash64("k"), F.lit(SHARE)) == 0).select("t")
     counts = _sets(some, words).select(F.explode("s").alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON)
     return np.sort(counts.orderBy(F.desc("n"), "m").limit(MOST).select("m").toPandas().m.to_numpy(np.int64).view(np.uint64))
 
