@@ -72,7 +72,11 @@ def joined(found: list[Span]) -> str:
 
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, n_assign, n_access, n_hex, base_sha256, spans and found (array of structs)."""
+    """``keep`` columns, n_assign, n_access, n_hex, base_sha256, spans and found (array of structs), a row for each row of ``docs``.
+
+    Null and empty texts have no spans; repeated rows come back repeated; other columns are never read; an empty table gives an
+    empty result.
+    """
     src = docs.select(*(F.col(f"`{c}`").alias(f"k_{i}") for i, c in enumerate(keep)), F.col(f"`{text}`").alias("t"))
     kept = src.dtypes[:-1]
 

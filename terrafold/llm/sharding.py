@@ -6,8 +6,9 @@ most of them are on (a group larger than a shard for several). A shard grants mo
 or others leave it, so no quota is ever exceeded and full shards swap; rounds end when no move is granted. Documents without links are ballast: they fill what is left, and all shards end
 with row counts that differ by one at most, however large a group is.
 
-Equal documents of a group on one shard are interchangeable, so a round works on (group, shard,
-count) rows: 40 at most for a group, even one that holds a third of the corpus. What the driver
+All documents of a group are neighbours of each other, and equal documents of a group on one shard are interchangeable. So what a
+join of every document with its neighbours' shards would count, a round has in (group, shard, count) rows that are brought
+together by group: 40 at most for a group, even one that holds a third of the corpus. :func:`cut` measures the links that remain cut. What the driver
 sees in a round is a sum for each shard and level of demand.
 """
 
@@ -114,6 +115,18 @@ def propagated(bundles: DataFrame, caps: dict[int, int]) -> DataFrame:
         held = now
 
 
+def cut(placed: DataFrame, link: str = "text_crc32", shard: str = "shard") -> DataFrame:
+    """One row: links (pairs of rows with an equal ``link``) and cut (those of them on two shards).
+
+    All rows of a group are linked with each other, so both follow from counts; no pair is listed. Null is a value like any other.
+    """
+    pairs = lambda n: F.sum(F.col(n).cast("decimal(38,0)") * (F.col(n) - 1) / 2)
+    parts = placed.groupBy(F.col(f"`{link}`").alias("g"), F.col(f"`{shard}`").alias("s")).agg(F.count(F.lit(1)).alias("c"))
+    groups = parts.groupBy("g").agg(F.sum("c").alias("n"), pairs("c").alias("kept"))
+    one = groups.agg(F.coalesce(pairs("n"), F.lit(0)).alias("links"), F.coalesce(F.sum("kept"), F.lit(0)).alias("kept"))
+    return one.select(F.col("links").cast("long").alias("links"), (F.col("links") - F.col("kept")).cast("long").alias("cut"))
+
+
 def _pick(ranges: Column, rank: Column) -> Column:
     """The shard of the first (hi, shard) in ``ranges`` with rank < hi."""
     return F.element_at(F.filter(ranges, lambda x: rank < x["hi"]), 1)["shard"]

@@ -59,7 +59,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE) -> DataFrame:
-    """``keep`` columns and ``fp``, the fingerprint as a signed long."""
+    """``keep`` columns and ``fp``, the fingerprint as a signed long, a row for each row of ``docs``.
+
+    Null and empty texts have 0; repeated rows come back repeated; other columns are never read; an empty table gives an empty result.
+    """
     src = docs.select(*(F.col(f"`{c}`").alias(f"k_{i}") for i, c in enumerate(keep)), F.col(f"`{text}`").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

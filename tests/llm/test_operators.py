@@ -434,6 +434,19 @@ def test_shards_gather_groups_where_they_are_full(spark, copied, giant, whole):
     assert not giant or spread["giant"] <= 16
 
 
+def test_cut_links_against_brute_force_and_the_hash_start(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, f"t{int(x)}") for i, x in enumerate(rng.geometric(0.08, 260))] + [(1000 + i, f"alone {i}") for i in range(60)]
+    got = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string"), n_shards=8)
+    place, text = {r["doc_id"]: r["shard"] for r in got.collect()}, dict(rows)
+    every = [(a, b) for a, b in itertools.combinations(sorted(text), 2) if text[a] == text[b]]
+    want = sum(place[a] != place[b] for a, b in every)
+    assert tuple(sharding.cut(got).first()) == (len(every), want)
+    start = sum(hash((a, 1)) % 8 != hash((b, 1)) % 8 for a, b in every)
+    assert want < 0.35 * start
+    assert tuple(sharding.cut(got.filter("false")).first()) == (0, 0)
+
+
 # 10 mixing ----------------------------------------------------------------------
 
 
