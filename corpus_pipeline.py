@@ -49,6 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of all stages over the documents of ``sf_dir``: a row for each document of the mixed stream.
+
+    Null and empty texts go in the first stage. Of repeated rows one stays. Null ids and sources are kept as such; of near-duplicates
+    the smallest id stays, a null one only where there is no other. An empty table gives an empty result. Columns besides those of
+    documents pass through all stages but the last.
+    """
     docs = documents(spark, sf_dir)
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
