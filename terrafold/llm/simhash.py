@@ -146,9 +146,10 @@ def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words
     # what goes: all keys of a component but its first, and repeated rows of one key but one
     own = rows.groupBy("k").agg(F.any_value("sid").alias("sid"), F.count(F.lit(1)).alias("times"))
     named = own.join(comp, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    firsts = named.groupBy("component").agg(F.min("k").alias("first"))
-    odd = named.join(firsts, "component").filter((F.col("k") != F.col("first")) | (F.col("times") > 1))
-    odd = stored(odd.select(F.col("k").alias(key), (F.col("k") == F.col("first")).alias("stays")), "dropped")
+    # joined by row, not by component: a component may hold a third of the corpus
+    firsts = named.groupBy("component").agg(F.min("k").alias("k")).select("k", F.lit(True).alias("stays"))
+    odd = own.select("k", "times").join(firsts, "k", "left").filter("stays IS NULL OR times > 1")
+    odd = stored(odd.select(F.col("k").alias(key), F.coalesce("stays", F.lit(False)).alias("stays")), "dropped")
     plain, rest = split_by_key(src, odd, key)
     nth, stays = free_name(docs, "row_nth"), free_name(docs, "stays")
     joined = rest.join(odd.withColumnRenamed("stays", stays), key, "left").filter(F.coalesce(stays, F.lit(True)))
