@@ -496,12 +496,24 @@ _END = lambda i: f"SELECT node_id FROM snapped WHERE point_id = {i}"  # noqa: E7
 _LEG = lambda q, m, i: f"SELECT {q} AS query_id, count(*) > 0 AS success, round(max(dist), 4) AS cost FROM {m} WHERE node = ({_END(i)})"
 
 
-@query(M.upto("comp", f"{_LEG(0, 'm0', 1)} UNION ALL {_LEG(1, 'm2', 3)} UNION ALL {_LEG(2, 'm0', 2)} UNION ALL SELECT 3, false, NULL", _BIG, f"corner AS (SELECT {_CORNERS} FROM free JOIN comp USING (node_id) WHERE component = (SELECT component FROM big))", f"ends_ AS MATERIALIZED ({_ENDS})", _SNAPPED, M.sssp("m0", _END(0)), M.sssp("m2", _END(2))))
+def _route_sql(legs: list[str], *seeds: int) -> str:
+    """``legs`` over the distances m<i> from each corner i of ``seeds``."""
+    corner = f"corner AS (SELECT {_CORNERS} FROM free JOIN comp USING (node_id) WHERE component = (SELECT component FROM big))"
+    return M.upto("comp", " UNION ALL ".join(legs), _BIG, corner, f"ends_ AS MATERIALIZED ({_ENDS})", _SNAPPED, *(M.sssp(f"m{i}", _END(i)) for i in seeds))
+
+
+def _told(summary: DataFrame) -> DataFrame:
+    return summary.select(F.col("query_id").cast("int").alias("query_id"), "success", F.when(F.col("success"), F.round("cost", 4)).alias("cost"))
+
+
+_ROUTES_SQL = _route_sql([_LEG(0, "m0", 1), _LEG(1, "m2", 3), _LEG(2, "m0", 2), "SELECT 3, false, NULL"], 0, 2)
+
+
+@query(_ROUTES_SQL)
 def plan_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What whole plans cost: snapping and search of the routes that the other plan queries shape."""
     t = terrain(spark, sf_dir)
-    got = t.make_plans(_routes(t))[1]
-    return got.select(F.col("query_id").cast("int").alias("query_id"), "success", F.when(F.col("success"), F.round("cost", 4)).alias("cost"))
+    return _told(t.make_plans(_routes(t))[1])
 
 
 @query()
@@ -524,11 +536,11 @@ def plan_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.quaternions(t.make_plans(_routes(t))[0])
 
 
-@query()
+@query(_route_sql([_LEG(0, "m1", 3), _LEG(1, "m3", 2)], 1, 3))
 def plan_through(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = terrain(spark, sf_dir)
     legs = _routes(t).filter("query_id < 3").select(F.lit(0).alias("route_id"), F.col("query_id").alias("seq"), "goal.*")
-    return t.plan_through(legs)[1].drop("planning_time")
+    return _told(t.plan_through(legs)[1])
 
 
 @query(M.upto("pts", "SELECT count(*) AS n, round(sum(x::FLOAT::DOUBLE), 3) AS sx, round(sum(y::FLOAT::DOUBLE), 3) AS sy, round(sum(z::FLOAT::DOUBLE), 3) AS sz FROM pts"))
@@ -588,7 +600,7 @@ def streaming_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.unix_timestamp("w.start").alias("day"), "gx", "gy", "gz", "n")
 
 
-@query()
+@query(_ROUTES_SQL)
 def streaming_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrafold.streaming.streams import serve_goals
 
@@ -599,7 +611,7 @@ def streaming_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = serve_goals(spark.readStream.schema(routes.schema).parquet(folder), t, lambda path, summary, n: summary.drop("planning_time").write.parquet(f"{done}/batch={n}"), new_path(spark, "offsets"))
     q.processAllAvailable()
     q.stop()
-    return spark.read.parquet(done).drop("batch")
+    return _told(spark.read.parquet(done))
 
 
 @query(M.upto("edge", "SELECT lethal, count(*) AS nodes, count(dist) AS reached, round(max(dist), 4) AS farthest FROM ground LEFT JOIN d ON d.node = ground.node_id GROUP BY lethal", M.sssp("d", _SEED)))
