@@ -13,6 +13,12 @@ shared member still joins several components are pairs listed, between texts out
 group of near copies is never expanded. A pair is listed only where both have the member early enough for their two sizes: similar
 sets of n and m members share a = ceil(4/9 (n + m)), and then one of the first n - a + 1 and m - a + 1.
 
+A member that over :data:`CROWD` texts share isn't paired. Its texts are described by their differences D from a center, the members
+that over half of a sample of them have. Sets of n and m members are similar exactly if their D differ in (n + m) / 9 members at most,
+that is with s = 9 |D| - n, if their D share (s + s') / 18. Where s + s' <= 0 both are similar to the text with the least s, to
+which alone they are linked; all others share one of the first |D| - (s + s') / 18 + 1 of each D, rarest members first. These
+are the edits of a near copy, not what its family has in common.
+
 Before whole sets are compared, pairs go whose sizes can't fit, and those that share too few first members: with c shared
 ones, the whole sets share c + ceil(4/5 max(n, m)) - 1 at most. All comparisons are exact, on whole sets.
 """
@@ -24,7 +30,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.llm.common import drop_stored, split_by_key, stored
@@ -35,6 +41,8 @@ WORDS, SEED = 5, 42
 NUM, DEN = 4, 5
 #: The sample has one text in SHARE; a common member is in so many of them, and those are so many at most (8 bytes each).
 SHARE, COMMON, MOST = 4, 3, 1_000_000
+#: Texts of a member that are paired, and texts that a center is drawn from.
+CROWD, DRAWN = 64, 32
 #: Words whose hashes are kept; texts and members that are looked at together.
 CACHE, ROWS, STEP = 50_000, 500, 1 << 15
 _LOWER = bytes(range(256)).lower()
@@ -201,32 +209,83 @@ class Join:
         shared = _both(fit, stored(lists, "lists"), "keys").withColumn("c", F.size(F.array_intersect("keys_a", "keys_b")))
         return stored(shared.filter(_reaches(F.col("c"), F.col("n_a"), F.col("n_b"))).select("a", "b", "n_a", "n_b"), "promising")
 
-    def similar(self, pairs: DataFrame) -> DataFrame:
-        """a, b of a stored table ``pairs`` (a, b, n_a, n_b) that are similar, by whole sets."""
-        nodes = stored(_nodes(pairs), "nodes")
+    def whole(self, nodes: DataFrame) -> DataFrame:
+        """sid, s: the whole sets of a stored table ``nodes`` (sid), stored."""
         wanted = self.sizes.join(nodes, "sid", "left_semi").select("k")
         # the texts aren't shuffled: those whose key may be wanted are cut again, and their sets are joined by what they hold
         texts = split_by_key(self.src, wanted, "k")[1].select("t")
-        sets = stored(_sets(texts, self.words).join(nodes, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+        return stored(_sets(texts, self.words).join(nodes, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """a, b of a stored table ``pairs`` (a, b, n_a, n_b) that are similar, by whole sets."""
+        sets = self.whole(stored(_nodes(pairs), "nodes"))
         both = _both(pairs, sets, "s").filter(F.size(F.array_intersect("s_a", "s_b")) * (NUM + DEN) >= (F.col("n_a") + F.col("n_b")) * NUM)
         out = stored(both.select("a", "b"), "links")
         drop_stored(sets)
         return out
 
     def across(self, met: DataFrame, comp: DataFrame, seen: DataFrame) -> DataFrame:
-        """a, b: pairs that share a first member, are of two components and aren't among ``seen``."""
+        """a, b: pairs of two components that share a first member, may be similar and aren't among ``seen``."""
         member = met.select("key", "sid", "place").join(self.sizes.select("sid", "n"), "sid").join(comp, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
         member = stored(member, "members")
         parts = member.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-        open_ = parts.groupBy("key").agg(F.max_by("component", "c").alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
+        main = F.max_by("component", F.struct("c", "component")).alias("main")
+        open_ = parts.groupBy("key").agg(main, F.sum("c").alias("texts"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
         left = stored(member.join(open_, "key"), "open")
-        p, q = left.filter("component <> main").alias("p"), left.alias("q")
+        few = left.filter(F.col("texts") <= CROWD)
+        p, q = few.filter("component <> main").alias("p"), few.alias("q")
         other = (F.col("p.component") != F.col("q.component")) & ((F.col("q.component") == F.col("q.main")) | (F.col("p.sid") < F.col("q.sid")))
         n, m = F.col("p.n"), F.col("q.n")
         close = _fits(n, m) & _early(F.col("p.place"), n, m) & _early(F.col("q.place"), m, n)
         met_ = p.join(q, (F.col("p.key") == F.col("q.key")) & other & close)
-        pairs = met_.select(F.least("p.sid", "q.sid").alias("a"), F.greatest("p.sid", "q.sid").alias("b")).distinct()
-        return stored(pairs.join(seen, ["a", "b"], "left_anti"), "across")
+        pairs = met_.select(F.least("p.sid", "q.sid").alias("a"), F.greatest("p.sid", "q.sid").alias("b"))
+        crowd = stored(left.filter(F.col("texts") > CROWD).select("sid", "n", "component", F.col("main").alias("c")).distinct(), "crowd")
+        if not crowd.isEmpty():
+            pairs = pairs.union(self.around(crowd))
+        return stored(pairs.distinct().join(seen, ["a", "b"], "left_anti"), "across")
+
+    def differences(self, crowd: DataFrame) -> DataFrame:
+        """``crowd`` (sid, n, component, c) with d, the members that a set or the center of its c has alone; size, that of d; and s."""
+        sets = self.whole(stored(crowd.select("sid").distinct(), "nodes"))
+        drawn = crowd.select("c", "sid", F.row_number().over(Window.partitionBy("c").orderBy("sid")).alias("i")).filter(F.col("i") <= DRAWN)
+        drawn = stored(drawn.select("c", "sid"), "drawn")
+        of = drawn.groupBy("c").agg(F.count(F.lit(1)).alias("of"))
+        held = drawn.join(of, "c").join(sets, "sid").select("c", "of", F.explode("s").alias("m")).groupBy("c", "m").agg(F.count(F.lit(1)).alias("v"), F.any_value("of").alias("of"))
+        centers = held.filter("2 * v > of").groupBy("c").agg(F.collect_list("m").alias("center"))
+        # a center has over CROWD texts, so so many copies of it are fewer rows than those, and none is a hot key
+        copies = of.join(centers, "c", "left").select("c", F.coalesce("center", F.array().cast("array<long>")).alias("center"), F.explode(F.sequence(F.lit(0), F.lit(CROWD - 1))).alias("copy"))
+        both = crowd.withColumn("copy", F.pmod(F.col("sid"), F.lit(CROWD)).cast("int")).join(copies, ["c", "copy"]).join(sets, "sid")
+        both = both.select(*crowd.columns, F.concat(F.array_except("s", "center"), F.array_except("center", "s")).alias("d")).withColumn("size", F.size("d").cast("long"))
+        out = stored(both.withColumn("s", F.col("size") * (DEN + NUM) - F.col("n") * (DEN - NUM)), "differences")
+        drop_stored(sets)
+        return out
+
+    def around(self, crowd: DataFrame) -> DataFrame:
+        """a, b: pairs of a stored table ``crowd`` (sid, n, component, c) with one c that may be similar: all such pairs of two components are among them or implied."""
+        diffs = self.differences(crowd)
+        share = 2 * (DEN + NUM)
+        nearest = diffs.groupBy("c").agg(F.min(F.struct("s", "sid", "component")).alias("o"))
+        nearest = stored(nearest.select("c", F.col("o.s").alias("s0"), F.col("o.sid").alias("sid0"), F.col("o.component").alias("home")), "nearest")
+        # tables with a row for each center are broadcast: a CROWDth of the texts' rows at most
+        placed = diffs.join(F.broadcast(nearest), "c").withColumn("free", (F.col("component") != F.col("home")) & (F.col("s") + F.col("s0") > 0))
+        sure = placed.filter((F.col("component") != F.col("home")) & ~F.col("free")).select(F.least("sid", "sid0").alias("a"), F.greatest("sid", "sid0").alias("b"))
+        lows = stored(placed.filter("free").groupBy("c").agg(F.min("s").alias("low")), "lows")
+        placed = placed.join(F.broadcast(lows), "c")
+        # the least numbers of members that a similar set's D shares: with any set (of a free one), and with any free one
+        least = F.greatest(F.lit(1), F.col("size") - F.floor(F.col("n") * (DEN - NUM) / F.lit(NUM)))
+        far = F.col("size") - F.greatest(least, F.ceil((F.col("s") + F.col("s0")) / F.lit(share)))
+        near = F.col("size") - F.greatest(least, F.ceil((F.col("s") + F.col("low")) / F.lit(share)))
+        flat = placed.select("c", "sid", "n", "component", "free", "size", "s", far.alias("far"), near.alias("near"), F.explode("d").alias("m"))
+        flat = flat.withColumn("v", F.count(F.lit(1)).over(Window.partitionBy("c", "m")))
+        flat = flat.withColumn("place", F.row_number().over(Window.partitionBy("c", "sid").orderBy("v", "m")) - 1)
+        early = (F.col("place") <= F.col("near")) | F.col("free") & (F.col("place") <= F.col("far"))
+        flat = stored(flat.filter((F.col("v") > 1) & early), "edits")
+        p, q = flat.filter(F.col("free") & (F.col("place") <= F.col("far"))).alias("p"), flat.filter(F.col("place") <= F.col("near")).alias("q")
+        same = (F.col("p.c") == F.col("q.c")) & (F.col("p.m") == F.col("q.m"))
+        other = (F.col("p.component") != F.col("q.component")) & (~F.col("q.free") | (F.col("p.sid") < F.col("q.sid")))
+        needed = F.ceil((F.col("p.s") + F.col("q.s")) / F.lit(share))
+        close = _fits(F.col("p.n"), F.col("q.n")) & (F.col("p.place") + needed <= F.col("p.size")) & (F.col("q.place") + needed <= F.col("q.size"))
+        return p.join(q, same & other & close).select(F.least("p.sid", "q.sid").alias("a"), F.greatest("p.sid", "q.sid").alias("b")).union(sure)
 
 
 def components(src: DataFrame, words: int = WORDS, links: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:

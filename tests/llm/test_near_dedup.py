@@ -61,3 +61,37 @@ def test_common_members_change_the_order_only(spark, monkeypatch):
     for common in ([], [int(x) for t in rows[::3] for x in jaccard.Shingles()(t[1])]):
         monkeypatch.setattr(jaccard, "_common", lambda src, words, c=common: np.unique(np.array(c, np.uint64)))
         assert {r["doc_id"] for r in simhash.survivors(docs).collect()} == want
+
+
+def family():
+    """Near copies of one text, most of whose pairs are under the threshold, and texts that have little more than a passage in common."""
+    rng = np.random.default_rng(2)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 4000, n)]
+    base, passage, texts = word(150), word(12), []
+    for i in range(360):
+        near, edits = list(base), int(rng.integers(1, 9))
+        for at in sorted(rng.integers(0, 150, edits), reverse=True):
+            near[at : at + 1] = [] if rng.random() < 0.5 else [f"x{rng.integers(0, 40)}"]
+        texts.append(near)
+    texts += [texts[i][:-2] + ["end"] for i in range(0, 200, 5)]  # close to one copy, far from the rest
+    texts += [passage + word(int(n)) for n in rng.integers(20, 60, 90)]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_a_large_family_is_not_paired(spark, monkeypatch):
+    rows, listed = family(), []
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    across = jaccard.Join.across
+    monkeypatch.setattr(jaccard.Join, "across", lambda *a: listed.append(across(*a)) or listed[-1])
+    assert {r["doc_id"] for r in simhash.survivors(docs).collect()} == brute(rows)
+    assert listed[0].count() < 5 * len(rows)
+
+
+def test_differences_from_centers_against_brute_force(spark, monkeypatch):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute(rows) - {len(rows) - 7, len(rows) - 6}
+    for crowd, drawn in ((1, 32), (3, 1)):
+        monkeypatch.setattr(jaccard, "CROWD", crowd)
+        monkeypatch.setattr(jaccard, "DRAWN", drawn)
+        assert {r["doc_id"] for r in simhash.survivors(docs).collect()} == want
