@@ -33,12 +33,11 @@ ROW_GROUP, PAGE = 16 << 20, 256 << 10
 CACHE_WORDS, CACHE_LETTERS = 400_000, 5_000_000
 #: Longer words are never remembered.
 LONG_WORD = 64
-#: Texts and characters that are encoded together.
-TEXTS, CHARS = 256, 1 << 20
-#: Texts of these characters alone are split into words here; all others go to the library whole.
-_PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\u024f]")
-#: The vocabulary's splitter for those characters. Its branches begin with different characters, so the most frequent comes first.
-_SPLIT = re.compile(f" ?[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{NUMBER}]+| ?[^\\s{LETTER}{NUMBER}]+|\\s+(?!\\S)|\\s+")
+#: Texts and bytes that are encoded together, and words that are looked up together.
+TEXTS, CHARS, WORDS = 1024, 4 << 20, 1 << 20
+#: Texts with one of these characters go to the library whole; all others are split into words here.
+_ODD = "[^\t\n\r\x20-\x7e\xa1-\xac\xae-\u024f]"
+_WHITE = 3
 WRITE_OPTIONS = {
     "parquet.block.size": str(ROW_GROUP),
     "parquet.page.size": str(PAGE),
@@ -49,12 +48,55 @@ WRITE_OPTIONS = {
 }
 
 
+def _kinds() -> np.ndarray:
+    """For each character up to U+024F: letter (1), number (2), white space (3) or other (0)."""
+    every = "".join(map(chr, range(0x250)))
+    out = np.zeros(len(every), np.uint8)
+    for kind, chars in ((1, f"[{LETTER}]"), (2, f"[{NUMBER}]"), (_WHITE, r"\s")):
+        out[[m.start() for m in re.finditer(chars, every)]] = kind
+    return out
+
+
+_KIND = _kinds()
+
+
+def word_starts(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where the words of the UTF-8 bytes ``data`` begin, and their end; ``texts`` has the same for texts (without _ODD characters).
+
+    The words are those of the vocabulary's splitter, in turn the whole text:
+    ``'(?:s|t|re|ve|m|ll|d)| ?letters+| ?numbers+| ?others+|\\s+(?!\\S)|\\s+``.
+    """
+    n = len(data)
+    kind = _KIND[data]
+    lead = np.flatnonzero(data >= 0xC0)  # all other characters are of two bytes
+    kind[lead] = kind[lead + 1] = _KIND[(data[lead] & np.uint16(31)) << 6 | data[lead + 1] & 63]
+    first = np.zeros(n + 3, bool)
+    first[texts] = True
+    start = first.copy()
+    # another kind of character begins a word, unless a space before it does
+    start[1:n] |= (kind[1:] != kind[:-1]) & (data[:-1] != 32)
+    # the last of several white space characters is left to the word that follows in the same text
+    white = kind == _WHITE
+    last = np.flatnonzero(white[1:-1] & white[:-2] & ~white[2:]) + 1
+    start[last[~first[last + 1]]] = True
+    tick = np.flatnonzero(data == 39)
+    tick = tick[start[tick]]
+    if len(tick):
+        after = np.concatenate([data, np.zeros(2, np.uint8)])
+        a, b = after[tick + 1], after[tick + 2]
+        short = np.isin(a, [*b"stmd"]) & ~first[tick + 1]
+        long = (np.isin(a, [*b"rv"]) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))) & ~first[tick + 1] & ~first[tick + 2]
+        start[tick[short | long] + 1] = False
+        start[tick[short] + 2] = start[tick[long] + 3] = True
+    return np.flatnonzero(start[: n + 1]).astype(np.int32)
+
+
 class _Words(dict[str, bytes]):
     """Ids of words as packed 32-bit integers; a word that isn't there yet is given to the library's model."""
 
     def __init__(self, model, letters: list[str]) -> None:  # noqa: ANN001
         self.tokenize = model.tokenize
-        self.letters = {i: c for i, c in enumerate(letters) if chr(i) != c}
+        self.letters = dict(enumerate(letters))
         self.space = letters[32]
         self.held = 0
 
@@ -64,7 +106,7 @@ class _Words(dict[str, bytes]):
         else:
             shown = word.encode().decode("latin-1").translate(self.letters)
         out = array("i", [t.id for t in self.tokenize(shown)]).tobytes()
-        if len(word) <= LONG_WORD:
+        if len(word) <= LONG_WORD and not self.full():
             self[word] = out
             self.held += len(word)
         return out
@@ -74,23 +116,25 @@ class _Words(dict[str, bytes]):
         self.held = 0
 
     def full(self) -> bool:
-        return len(self) > CACHE_WORDS or self.held > CACHE_LETTERS
+        return len(self) >= CACHE_WORDS or self.held >= CACHE_LETTERS
 
-    def keep(self, recent: set[str]) -> None:
+    def keep(self, recent: list[str]) -> None:
         """Only ``recent`` words stay, or none if they are many themselves."""
-        left = {w: self[w] for w in recent if len(w) <= LONG_WORD}
+        left = {w: self[w] for w in recent if w in self}
+        letters = sum(map(len, left))
         self.forget()
-        if len(left) <= CACHE_WORDS // 2:
+        if len(left) <= CACHE_WORDS // 2 and letters <= CACHE_LETTERS // 2:
             self.update(left)
-            self.held = sum(map(len, left))
+            self.held = letters
 
 
 class WordEncoder:
     """The library's ids of whole texts, with the ids of a frequent word asked for once.
 
     The vocabulary's splitter cuts a text into words that never merge across their borders, so
-    ids of words in turn are the ids of the text. Special tokens' strings, and characters on which
-    two Unicode versions might disagree, send the whole text to the library instead.
+    ids of words in turn are the ids of the text. All texts of a batch are split at once, and each
+    of their distinct words is looked up once, however many places it has. Special tokens' strings,
+    and characters on which two Unicode versions might disagree, send the whole text to the library.
     """
 
     def __init__(self, path: str) -> None:
@@ -98,20 +142,52 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.words = _Words(self.tokenizer.model, byte_letters())
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join([_ODD, *(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())])
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (no nulls) one after the other, and how many each text has."""
+        texts = texts.cast(pa.string())
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self._plain(texts)
+        n = np.empty(len(texts), np.int64)
+        plain, n[~odd] = self._plain(texts.filter(pa.array(~odd)))
+        whole = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32) for t in texts.filter(pa.array(odd)).to_pylist()]
+        n[odd] = [len(x) for x in whole]
+        of_odd = np.repeat(odd, n)
+        out = np.empty(len(of_odd), np.int32)
+        out[~of_odd], out[of_odd] = plain, np.concatenate(whole)
+        return out, n
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        size = pc.binary_length(texts).to_numpy().astype(np.int64)
+        if not size.any():
+            return np.empty(0, np.int32), size
+        _, at, chars = texts.buffers()
+        offsets = np.frombuffer(at, np.int32, len(texts) + 1, 4 * texts.offset)
+        chars = chars.slice(int(offsets[0]), int(size.sum()))
+        offsets = offsets - offsets[0]
+        starts = word_starts(np.frombuffer(chars, np.uint8), offsets)
+        words = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), chars)
+        ends, out = [np.zeros(1, np.int64)], []
+        for lo in range(0, len(words), WORDS):
+            coded = words.slice(lo, WORDS).dictionary_encode()
+            distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            packed = list(map(self.words.__getitem__, distinct))
+            if self.words.full():
+                self.words.keep(distinct)
+            n = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+            flat, place = np.frombuffer(b"".join(packed), np.int32), coded.indices.to_numpy()
+            each = n[place]
+            upto = np.cumsum(each)
+            out.append(flat[np.repeat((np.cumsum(n) - n)[place] - upto + each, each) + np.arange(upto[-1])])
+            ends.append(ends[-1][-1] + upto)
+        return np.concatenate(out), np.diff(np.concatenate(ends)[np.searchsorted(starts, offsets)])
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 32-bit integers."""
-        get, out, recent = self.words.__getitem__, [], []
-        for text in texts:
-            if _PLAIN.search(text) or any(s in text for s in self.special):
-                out.append(array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
-            else:
-                recent.append(cut := _SPLIT.findall(text))
-                out.append(b"".join(map(get, cut)))
-        if self.words.full():
-            self.words.keep(set().union(*recent))
-        return out
+        ids, n = self.ids(pa.array(texts, pa.string()))
+        return [ids[end - k : end].tobytes() for end, k in zip(np.cumsum(n), n, strict=True)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -143,13 +219,13 @@ def write_tokens(docs: DataFrame, target: str, text: str = "text", doc_id: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, at, enc, end = TaskContext.get().partitionId(), 0, encoder(path), array("i", [end_id]).tobytes()
+        part, at, enc = TaskContext.get().partitionId(), 0, encoder(path)
         for b in batches:
             for piece in _pieces(b):
-                ids = [x + end for x in enc.packed([t or "" for t in piece.column(1).to_pylist()])]
-                n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                ids, n = enc.ids(pc.fill_null(piece.column(1), ""))
+                flat = np.insert(ids, np.cumsum(n), end_id)
+                n += 1
                 ends = np.cumsum(n)
-                flat = np.frombuffer(b"".join(ids), np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(at + ends - n), pa.array(n), lists], names=["doc_id", "part", "local_start", "n_tokens", "tokens"])
                 at += int(ends[-1])

@@ -351,6 +351,40 @@ def test_word_cache_is_bounded(library, monkeypatch):
         assert len(enc.words) <= 200 and max(map(len, enc.words), default=0) <= tokens.LONG_WORD
 
 
+def test_words_of_a_batch_are_looked_up_once():
+    import public_tokenizers as P
+
+    class Counted(tokens._Words):
+        asked = 0
+
+        def __getitem__(self, word):
+            Counted.asked += 1
+            return super().__getitem__(word)
+
+    enc = tokens.WordEncoder(P.path("byte_bpe_50k.json"))
+    enc.words.__class__ = Counted
+    texts = [prose(i, 300) for i in range(40)]
+    got = enc.packed(texts)
+    assert got == [np.array(x.ids, np.int32).tobytes() for x in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert Counted.asked <= len({w for t in texts for w in t.split(" ")}) * 2  # with and without a space before
+
+
+def test_split_of_short_texts_matches_the_library(monkeypatch):
+    import public_tokenizers as P
+    import pyarrow as pa
+
+    enc = tokens.WordEncoder(P.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(4)
+    plain = [*"a'stlrevmdS1,.½é×ªɏǄ¡", "'", "'", "re", "ll", "the", " ", " ", "  ", "\n", "\t", "\r"]
+    for round_ in range(300):
+        monkeypatch.setattr(tokens, "WORDS", (1 << 20, 3)[round_ % 2])
+        letters = plain if round_ % 3 else [*plain, "日", "\x85", "\xa0", "ɐ", "\xad", "<|endoftext|>"]
+        texts = ["".join(rng.choice(letters, n)) for n in rng.integers(0, 14, 20)]
+        want = [x.ids for x in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        ids, n = enc.ids(pa.array(["é ", *texts, "a"]).slice(1, len(texts)))
+        assert (ids.tolist(), n.tolist()) == (list(itertools.chain.from_iterable(want)), [len(w) for w in want])
+
+
 # 1 licences ---------------------------------------------------------------------
 
 
