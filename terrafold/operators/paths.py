@@ -389,18 +389,29 @@ def traced(hops: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def parent_trace(parents: DataFrame, leaves: DataFrame, view: str = "parents") -> DataFrame:
-    """leaf, node, step along the parent chain of each leaf, by a recursive query (chains of up to 10,000)."""
-    spark = parents.sparkSession
-    return spark.sql(
-        """
-        WITH RECURSIVE walk(leaf, node, step) MAX RECURSION LEVEL 10000 AS (
-          SELECT leaf, leaf, CAST(0 AS BIGINT) FROM {leaves}
-          UNION ALL
-          SELECT w.leaf, p.parent, w.step + 1 FROM walk w JOIN {parents} p ON p.node = w.node WHERE p.parent >= 0)
-        SELECT leaf, node, step FROM walk""",
-        parents=parents,
-        leaves=leaves,
-    )
+    """leaf, node, step along the parent chain of each leaf; a parent that is null or negative ends it. Chains may be of any length.
+
+    Jumps of 1, 2, 4, ... parents are tabled until no chain is as long; then steps are filled in from the longest jump down, so
+    every row of the result is made once. Raises if parents go round in a circle.
+    """
+    jumps = [stored(parents.filter("parent >= 0").select("node", F.col("parent").alias("to")), "jump")]
+    longest = jumps[0].count()
+    while not jumps[-1].isEmpty():
+        if 1 << (len(jumps) - 1) > longest:
+            raise ValueError("the parents go round in a circle")
+        last = jumps[-1]
+        jumps.append(stored(last.join(last.select(F.col("node").alias("to"), F.col("to").alias("then")), "to").select("node", F.col("then").alias("to")), "jump"))
+    drop_stored(jumps.pop())
+    walk = leaves.select("leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("step"))
+    if jumps:
+        walk = stored(walk, "walk")
+    for i in range(len(jumps) - 1, -1, -1):
+        more = walk.join(jumps[i], "node").select("leaf", F.col("to").alias("node"), (F.col("step") + (1 << i)).alias("step"))
+        if i:  # the last rows, half of all, are made where they are read
+            more = stored(more, "walk")
+            drop_stored(jumps[i])
+        walk = walk.unionByName(more)
+    return walk
 
 
 def register_udtf(nodes: DataFrame, edges: DataFrame, name: str = "shortest_path", weight: float = 1.0) -> None:

@@ -122,6 +122,22 @@ def test_both_backends_give_the_same_rows(spark):
         run(backend="other")
 
 
+def test_parent_trace_has_no_limit_of_rows_or_steps(spark):
+    deep = spark.range(20001).select(F.col("id").alias("node"), (F.col("id") - 1).alias("parent"))
+    got = paths.parent_trace(deep, spark.createDataFrame([(20000,), (3,), (3,), (70000,)], "leaf long"))
+    assert got.columns == ["leaf", "node", "step"] and got.filter("leaf <> 3").count() == 20002
+    assert sorted(map(tuple, got.filter("leaf = 3").collect())) == sorted([(3, 3 - i, i) for i in range(4)] * 2)
+    assert got.filter("leaf = 20000 AND node <> 20000 - step").isEmpty()
+    tree = spark.range(80000).select(F.col("id").alias("node"), F.when(F.col("id") >= 2, F.shiftright("id", 1)).alias("parent"))
+    walk = paths.parent_trace(tree, tree.select(F.col("node").alias("leaf")))
+    assert walk.count() == 2 + sum(n.bit_length() for n in range(2, 80000)) > 1_000_000
+    assert walk.filter("node <> shiftright(leaf, CAST(step AS INT))").isEmpty()
+    assert paths.parent_trace(tree.filter("node < 2"), tree.filter("node < 2").select(F.col("node").alias("leaf"))).count() == 2
+    ring = spark.createDataFrame([(0, 1), (1, 2), (2, 0)], "node long, parent long")
+    with pytest.raises(ValueError, match="circle"):
+        paths.parent_trace(ring, ring.select(F.col("node").alias("leaf")))
+
+
 def test_expansion_limits(terrain, free_ids):
     k = terrain.graph.kernel()
     _, cost, seen, _ = k.best_first(k.index(free_ids[0]), k.index(free_ids[-1]), 1.0, 10**6)
