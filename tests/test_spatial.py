@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as g
 from terrafold.operators import spatial, surface
+from terrafold.plans.data import points
 
 
 def cloud(spark, xyz, **more):
@@ -118,6 +119,25 @@ def test_finite(spark):
     assert surface.finite(df).count() == 1
 
 
+def test_finite_of_every_kind_of_number(spark):
+    odd = [float("nan"), float("inf"), float("-inf"), None, -0.0, 1.7976931348623157e308, -5e-324, 2.5]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(odd)], "i int, v double")
+    for kind in ("double", "float"):
+        for c in "xyz":
+            got = surface.finite(df.select("i", *(F.lit(1.0).cast(kind).alias(o) for o in "xyz" if o != c), F.col("v").cast(kind).alias(c)))
+            want = [4, 5, 6, 7] if kind == "double" else [4, 6, 7]  # the largest double is an infinite float
+            assert sorted(r["i"] for r in got.collect()) == want
+    whole = spark.sql("SELECT 9223372036854775807 AS x, CAST(-7.25 AS DECIMAL(38, 10)) AS y, CAST(3 AS INT) AS z UNION ALL SELECT 1, NULL, 3")
+    assert surface.finite(whole).count() == 1
+
+
+def test_finite_points_of_the_tables_are_compiled(spark, tmp_path):
+    rows = [(i * 37, i * 11, i * 7, i % 7, float(i % 50 + 1)) for i in range(1000)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    code = surface.finite(points(spark, str(tmp_path)))._jdf.queryExecution().debug().codegenToSeq()
+    assert code.size() and all(code.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(code.size()))
+
+
 def test_quaternions_are_unit_and_turn(spark):
     rng = np.random.default_rng(5)
     n = rng.normal(size=(100, 3))
