@@ -80,7 +80,7 @@ _VEC = "v AS (SELECT vec_id AS node_id, embedding[1]::DOUBLE AS x, embedding[2]:
 @query(f"WITH {_VEC} SELECT node_id, neighbour, rank, round(d, 6) AS d FROM (SELECT a.node_id, b.node_id AS neighbour, {M.dist('a', 'b')} AS d, row_number() OVER (PARTITION BY a.node_id ORDER BY {M.dist('a', 'b')}, b.node_id) AS rank FROM v a, v b) WHERE rank <= 8")
 def knn_join_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = stored(_vectors(spark, sf_dir), "vectors")
-    near = spatial.knn_join(v, v, 8, 0.05)
+    near = spatial.knn_by_place(v, v, 8)
     return near.select(F.col("l_node_id").alias("node_id"), F.col("r_node_id").alias("neighbour"), F.col("rank").cast("long").alias("rank"), r6("d", "d"))
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from terrafold import catalog
 from terrafold.functions import geometry as g
 from terrafold.operators import spatial, surface
 from terrafold.plans.data import points
@@ -70,6 +71,36 @@ def test_nearest_of_far_points(spark, some):
     assert got.r_node_id.tolist() == np.linalg.norm(q[:, None] - xyz[None], axis=2).argmin(axis=1).tolist()
 
 
+def test_knn_by_place_is_exact_for_any_density_and_repeats(spark):
+    rng = np.random.default_rng(6)
+    xyz = np.concatenate([rng.normal(0, 1e-5, (300, 3)), rng.uniform(-3, 3, (200, 3)), np.tile([[0.5, 0.5, 0.5], [-0.0, 0.0, 2.0]], (40, 1)), [[900.0, 0, 0]]])
+    xyz = xyz[rng.permutation(len(xyz))]
+    df = cloud(spark, xyz)
+
+    def check(left, right, k, got):
+        got = got.toPandas().sort_values(["l_node_id", "rank"])
+        d = np.sqrt(((left[:, None] - right[None]) ** 2).sum(axis=2))
+        k = min(k, len(right))
+        assert (got.l_node_id.to_numpy().reshape(-1, k)[:, 0] == np.arange(len(left))).all()
+        assert (got.r_node_id.to_numpy().reshape(-1, k) == np.argsort(d, axis=1, kind="stable")[:, :k]).all()
+
+    got = spatial.knn_by_place(df.withColumn("more", -F.col("node_id")), df, 8)
+    assert got.columns == ["l_node_id", "l_x", "l_y", "l_z", "l_more", "r_node_id", "r_x", "r_y", "r_z", "d", "rank"] and got.filter("l_more <> -l_node_id").isEmpty()
+    check(xyz, xyz, 8, got)
+    check(xyz[:50] + 0.25, xyz[:5], 8, spatial.knn_by_place(cloud(spark, xyz[:50] + 0.25), cloud(spark, xyz[:5]), 8))
+    assert spatial.knn_by_place(df.filter("false"), df, 8).isEmpty()
+
+
+def test_pairs_of_vectors_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(spatial, "radius_join", lambda *a, f=spatial.radius_join, **b: (made.append(out := f(*a, **b)), out)[1])
+    monkeypatch.setattr(spatial, "drop_stored", lambda df: None)  # the pairs are counted after the rounds
+    xyz = np.random.default_rng(7).uniform(0.001, 0.049, (3000, 3))
+    spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(xyz)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert catalog.knn_join_vectors(spark, str(tmp_path)).count() == 8 * 3000
+    assert sum(p.count() for p in made) < 200 * 3000
+
+
 def test_radius_join_and_plan(some):
     xyz, df = some
     pairs = spatial.radius_join(df, df, 0.7)
