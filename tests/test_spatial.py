@@ -169,6 +169,18 @@ def test_finite_points_of_the_tables_are_compiled(spark, tmp_path):
     assert code.size() and all(code.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(code.size()))
 
 
+def test_voxels_of_the_tables_are_compiled(spark, tmp_path):
+    rows = [(i * 37, i * 11, i * 7, i % 7, float(i % 50 + 1)) for i in range(1000)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # with it, code is there only after the run
+    try:
+        code = surface.voxel_cells(surface.finite(points(spark, str(tmp_path))), 0.5)._jdf.queryExecution().debug().codegenToSeq()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())]
+    assert len(sizes) >= 2 and max(sizes) < 8000
+
+
 def test_quaternions_are_unit_and_turn(spark):
     rng = np.random.default_rng(5)
     n = rng.normal(size=(100, 3))
